@@ -1,4 +1,4 @@
-"""Dense rank over a whole table without a window in one task."""
+"""Ranks over a whole table without a window in one task."""
 
 from __future__ import annotations
 
@@ -8,44 +8,58 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
+SMALL = 100_000
 SLICES = 256
 HOT_SHARE = 1000
 
 
-def _ranked_values(counted: DataFrame, score: str, descending: bool) -> DataFrame:
-    """(score, n, rank) from (score, n): the score range is cut into slices of about equal
+def _ranked_values(counted: DataFrame, score: str, weight: str, direction) -> DataFrame:
+    """(score, n, _rank) from (score, n): the score range is cut into slices of about equal
     size, each slice is ranked on its own and shifted by the slices before it."""
     points = counted.approxQuantile(score, [i / SLICES for i in range(1, SLICES)], 1 / (4 * SLICES))
     splits = [float("-inf"), *sorted(set(points)), float("inf")]
     sliced = Bucketizer(splits=splits, inputCol=score, outputCol="_slice").transform(counted)
-    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_size"))
-    direction = F.desc if descending else F.asc
+    sizes = sliced.groupBy("_slice").agg(F.sum(weight).alias("_size"))
     # At most SLICES rows: this window and this broadcast have a fixed bound.
     before = Window.orderBy(direction("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_slice").orderBy(direction(score))
+    earlier = (Window.partitionBy("_slice").orderBy(direction(score))
+               .rowsBetween(Window.unboundedPreceding, -1))
     return (sliced.join(F.broadcast(offsets), "_slice")
-                  .withColumn("_rank", F.col("_offset") + F.row_number().over(inside))
+                  .withColumn("_rank", F.col("_offset") + F.coalesce(F.sum(weight).over(earlier), F.lit(0)) + 1)
                   .select(score, "n", "_rank"))
 
 
-def dense_rank_all(df: DataFrame, score: str, name: str, descending: bool = True) -> DataFrame:
-    """Add the dense rank of `score` over all rows (NULL scores get NULL).
+def rank_all(df: DataFrame, score: str, name: str, method: str = "dense", descending: bool = True,
+             stored: bool = False, small: int = SMALL) -> DataFrame:
+    """Add the rank of `score` over all rows: "dense", or "min" (1 + number of better rows).
 
-    Values are ranked once each, however often they occur. Scores that many rows share would
-    all meet in one task of the join back, so those (at most HOT_SHARE values, by counting)
-    are joined by broadcast and only the rest is shuffled.
+    Every distinct value is ranked once, however often it occurs. Up to `small` distinct
+    values are ranked directly and broadcast (the size is measured first). Beyond that the
+    values are ranked in slices, and scores that many rows share, which would all meet in one
+    task of the join back, are joined by broadcast (at most HOT_SHARE values, by counting).
+    `stored` says that df is already cheap to read again. NULL scores get NULL.
     """
-    df = cut(df)
-    counted = cut(df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("n")))
-    rows = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    if rows == 0:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
-    ranked = cut(_ranked_values(counted, score, descending)).withColumnRenamed("_rank", name)
-    hot = ranked.filter(F.col("n") * HOT_SHARE >= rows).drop("n")
-    rare = ranked.filter(F.col("n") * HOT_SHARE < rows).drop("n")
+    df = df if stored else cut(df)
+    direction = F.desc if descending else F.asc
+    counted = (df.filter(F.col(score).isNotNull()).groupBy(score)
+                 .agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1)))
+    weight = "_one" if method == "dense" else "n"
+    sizes = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+                        F.count(F.lit(1)).alias("distinct_values")).first()
     columns = [*df.columns, name]
+    if sizes["distinct_values"] <= small:
+        earlier = Window.orderBy(direction(score)).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = counted.select(score, (F.coalesce(F.sum(weight).over(earlier), F.lit(0)) + 1).alias(name))
+        return df.join(F.broadcast(ranked), score, "left").select(*columns)
+    ranked = cut(_ranked_values(cut(counted), score, weight, direction)).withColumnRenamed("_rank", name)
+    is_hot = F.col("n") * HOT_SHARE >= sizes["rows"]
+    hot, rare = ranked.filter(is_hot).drop("n"), ranked.filter(~is_hot).drop("n")
     common = df.join(F.broadcast(hot), score).select(*columns)
     others = df.join(F.broadcast(hot.select(score)), score, "left_anti").filter(F.col(score).isNotNull())
-    unscored = df.filter(F.col(score).isNull()).withColumn(name, F.lit(None).cast("bigint"))
+    unscored = df.filter(F.col(score).isNull()).withColumn(name, F.lit(None).cast("bigint")).select(*columns)
     return common.unionByName(others.join(rare, score).select(*columns)).unionByName(unscored)
+
+
+def dense_rank_all(df: DataFrame, score: str, name: str, descending: bool = True, **options) -> DataFrame:
+    return rank_all(df, score, name, "dense", descending, **options)
