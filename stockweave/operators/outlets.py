@@ -7,7 +7,7 @@ by the calendar; its windows and the final grouping share one exchange on outlet
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, count_where, first_rule, flag, require_columns, to_number
@@ -15,14 +15,16 @@ from ..plans.lineage import cut
 from ..plans.quantiles import exact_quantiles
 from ..plans.ranks import rank_all
 
-PER_OUTLET = Window.partitionBy("outlet_id")
-BY_DAY = PER_OUTLET.orderBy("date")
 STATIC = ("outlet_type", "country", "region", "city", "location_type", "cuisine", "capacity",
           "delivery_available", "takeaway_available", "bar_available", "kitchen_type",
           "tourism_level", "business_area", "residential_area", "student_area")
 TINY = 1e-12
 
 
+def per_outlet() -> WindowSpec:
+    return Window.partitionBy("outlet_id")
+
+
 def safe_ratio(numerator, denominator) -> Column:
     """Ratio that is 0 for a denominator near zero."""
     n, d = (F.col(c) if isinstance(c, str) else c for c in (numerator, denominator))
@@ -41,8 +43,8 @@ def _trend(first: Column, last: Column, days: Column, shortest: int = 14) -> Col
 
 def _day_positions(daily: DataFrame) -> DataFrame:
     return daily.withColumns({
-        "_day": F.row_number().over(BY_DAY),
-        "_days": F.count(F.lit(1)).over(PER_OUTLET),
+        "_day": F.row_number().over(per_outlet().orderBy("date")),
+        "_days": F.count(F.lit(1)).over(per_outlet()),
     })
 
 
@@ -143,7 +145,7 @@ def outlet_behavior(demand: DataFrame) -> DataFrame:
         "date", F.greatest(F.coalesce(to_number("deconstrained_demand"), F.lit(0.0)), F.lit(0.0)).alias("demand"))
     daily = facts.groupBy("outlet_id", "date").agg(F.sum("demand").alias("demand"))
     d = F.col("demand")
-    marks = F.percentile(d, F.array(*[F.lit(p) for p in (0.10, 0.90)])).over(PER_OUTLET)
+    marks = F.percentile(d, F.array(*[F.lit(p) for p in (0.10, 0.90)])).over(per_outlet())
     weekend = F.weekday("date") >= 5
     shape = _day_positions(daily).withColumn("_marks", marks).groupBy("outlet_id").agg(
         F.count(F.lit(1)).alias("behavior_days"),
@@ -163,7 +165,7 @@ def outlet_behavior(demand: DataFrame) -> DataFrame:
     totals = product.groupBy("outlet_id").agg(
         F.sum("product_demand").alias("_total"), F.count(F.lit(1)).alias("behavior_product_count"))
     # The rank filter is pushed below the shuffle, so at most 5 rows per outlet and task move.
-    position = F.row_number().over(PER_OUTLET.orderBy(F.desc("product_demand"), "product_id"))
+    position = F.row_number().over(per_outlet().orderBy(F.desc("product_demand"), "product_id"))
     best = (product.withColumn("_position", position).filter("_position <= 5").groupBy("outlet_id").agg(
         F.sum(F.when(F.col("_position") <= 3, F.col("product_demand"))).alias("_top3"),
         F.sum("product_demand").alias("_top5")))
@@ -213,7 +215,7 @@ def performance_rows(demand: DataFrame) -> DataFrame:
         F.sum("estimated_lost_demand").alias("lost"), F.count(F.lit(1)).alias("rows"),
         count_where(F.col("stockout")).alias("out"))
     d = F.col("demand")
-    q90 = F.percentile(d, F.lit(0.9)).over(PER_OUTLET)
+    q90 = F.percentile(d, F.lit(0.9)).over(per_outlet())
     df = _day_positions(daily).withColumn("_q90", q90).groupBy("outlet_id").agg(
         F.count(F.lit(1)).alias("performance_days"),
         F.sum("sold").alias("total_observed_demand"),

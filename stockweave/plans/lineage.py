@@ -3,23 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_local_folder: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in `spark.checkpoint.dir`.
+
+    A folder of our own is made only where the session names none and runs in local mode, as
+    in tests; on a cluster every executor must reach the folder, so it has to be named.
+    """
+    global _local_folder
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="stockweave-")
+    return _local_folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names in `spark.checkpoint.dir`.
+    """Write the frame to the shared folder and read it back.
 
-    A lost executor costs nothing but a re-read. A folder of our own is set only where the
-    session names none, which is the case in local tests.
+    The stored table survives lost executors, is read by column, and has a known size, so
+    later joins are planned on real statistics.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="stockweave-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/stockweave-cut-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,11 +21,6 @@ ALIASES = {
     "product_id": ("product", "item_id", "sku", "item"),
 }
 
-# Client files are read as text columns and converted afterwards, so one bad value never
-# fails a file and no inference pass is needed.
-FEED_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in (
-    *REQUIRED, *(alias for names in ALIASES.values() for alias in names))])
-
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
@@ -54,40 +49,72 @@ def read_file(spark: SparkSession, path: str, schema: T.StructType | None = None
     return reader.csv(path, header=True) if suffix == "csv" else reader.json(path, multiLine=False)
 
 
-def read_package(spark: SparkSession, folder: str, formats=FORMATS) -> DataFrame:
-    """All files of a folder as one text frame with their path. A format without files adds no row.
-
-    CSV headers may differ between files, so every file keeps its own column order: the header
-    row is honoured per file by reading each distinct header on its own.
-    """
-    out = None
+def list_files(spark: SparkSession, folder: str, formats=FORMATS) -> list[str]:
+    """Non-empty files of the accepted formats; only names and sizes are read."""
+    out: list[str] = []
     for fmt in formats:
-        files = _listing(spark, folder, fmt)
-        if not files:
-            continue
-        for frame in _same_columns(spark, files, fmt):
-            out = frame if out is None else out.unionByName(frame, allowMissingColumns=True)
-    if out is None:
-        raise ValueError(f"no {', '.join(formats)} file in {folder}")
-    return out
+        found = (spark.read.format("binaryFile").option("pathGlobFilter", f"*.{fmt}").load(folder)
+                 .filter("length > 0").select("path").collect())
+        out += [r["path"] for r in found]
+    return sorted(out)
+
+
+def csv_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Paths by header line, from one distributed pass over the first block of every file."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"),
+                                          F.col("_metadata.file_block_start").alias("block"),
+                                          F.monotonically_increasing_id().alias("line"))
+    first = lines.filter("block = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    grouped = first.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
+    return {r["header"]: sorted(r["paths"]) for r in grouped}
 
 
-def _listing(spark: SparkSession, folder: str, fmt: str) -> list[str]:
-    listed = (spark.read.format("binaryFile").option("pathGlobFilter", f"*.{fmt}").load(folder)
-              .filter("length > 0").select("path").collect())
-    return sorted(r["path"] for r in listed)
+def _text_frame(df: DataFrame) -> DataFrame:
+    """Canonical names, every value as text, the file it came from, the columns it lacks."""
+    named = normalize_feed_columns(df.withColumn("source_file", F.col("_metadata.file_path")))
+    lacking = ",".join(sorted(set(REQUIRED) - set(named.columns)))
+    named = named.select(*[F.col(c).cast("string").alias(c) for c in named.columns])
+    return named.withColumn("missing_columns", F.lit(lacking))
 
 
-def _same_columns(spark: SparkSession, files: list[str], fmt: str):
-    """Group a package's files by their header and read each group in one go."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in files:
-        columns = (spark.read.csv(path, header=True) if fmt == "csv" else spark.read.format(fmt).load(path)).columns
-        groups.setdefault(tuple(columns), []).append(path)
-    for paths in groups.values():
-        frame = spark.read.csv(paths, header=True) if fmt == "csv" else spark.read.format(fmt).load(paths)
-        frame = normalize_feed_columns(frame.select("*", F.col("_metadata.file_path").alias("source_file")))
-        yield frame.select(*[F.col(c).cast("string").alias(c) for c in frame.columns])
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Client files of any accepted format and header as one text frame.
+
+    Files with the same columns are read together, so the plan grows with the number of
+    layouts, not with the number of files.
+    """
+    by_format: dict[str, list[str]] = {}
+    for path in paths:
+        by_format.setdefault(path.rsplit(".", 1)[-1].lower(), []).append(path)
+    unknown = set(by_format) - set(FORMATS)
+    if unknown:
+        raise ValueError(f"unsupported file types {sorted(unknown)}")
+    frames = []
+    for header, group in csv_headers(spark, by_format["csv"]).items() if "csv" in by_format else ():
+        names = spark.createDataFrame([(header,)], "line string").select(F.from_csv("line", ", ".join(
+            f"c{i} string" for i in range(header.count(",") + 1))).alias("n")).select("n.*").first()
+        schema = T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(names)])
+        frames.append(_text_frame(spark.read.schema(schema).csv(group, header=True)))
+    if "json" in by_format:
+        frames.append(_text_frame(spark.read.option("primitivesAsString", True).json(by_format["json"])))
+    layouts: dict[tuple, list[str]] = {}
+    for path in by_format.get("parquet", ()):
+        layouts.setdefault(tuple(spark.read.parquet(path).dtypes), []).append(path)
+    frames += [_text_frame(spark.read.parquet(*group)) for group in layouts.values()]
+    if not frames:
+        raise ValueError("no file to read")
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out
+
+
+def read_package(spark: SparkSession, folder: str, formats=FORMATS) -> DataFrame:
+    """Every waiting file of a folder; empty files are skipped."""
+    paths = list_files(spark, folder, formats)
+    if not paths:
+        raise ValueError(f"no {', '.join(formats)} file in {folder}")
+    return read_files(spark, paths)
 
 
 def manifest(df: DataFrame) -> DataFrame:

@@ -17,59 +17,65 @@ from ..operators import quality
 from ..sources import readers
 
 
-def feed_stream(spark: SparkSession, incoming: str, fmt: str = "csv", max_files: int = 1000) -> DataFrame:
-    """Text columns of every accepted name plus the file they came from."""
-    reader = (spark.readStream.format(fmt).schema(readers.FEED_SCHEMA).option("pathGlobFilter", f"*.{fmt}")
-              .option("maxFilesPerTrigger", max_files))
-    if fmt == "csv":
-        # Columns are matched by header name: files may use any accepted alias in any order.
-        reader = reader.option("header", True).option("enforceSchema", False)
-    return reader.load(incoming).select("*", F.col("_metadata.file_path").alias("source_file"))
+def feed_stream(spark: SparkSession, incoming: str, max_files: int = 1000) -> DataFrame:
+    """Paths of arriving csv, json and parquet files; their content is read by each batch.
 
-
-def coalesce_aliases(df: DataFrame) -> DataFrame:
-    """One canonical column from all of its accepted names, row by row."""
-    made = {c: F.coalesce(*[F.col(n) for n in (c, *readers.ALIASES[c]) if n in df.columns]) for c in readers.REQUIRED}
-    return df.withColumns(made).select(*readers.REQUIRED, "source_file")
+    Client files differ in header and format, which one streaming schema cannot express.
+    """
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return (spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.{csv,json,parquet}")
+            .option("maxFilesPerTrigger", max_files).load(incoming).filter("length > 0")
+            .select("path", "length", "modificationTime"))
 
 
 def judge(rows: DataFrame) -> DataFrame:
     """Per file: rows, usable rows, negative rows and the verdict. Partially aggregated by file."""
     typed = readers.typed_feed(rows)
-    complete = F.col("date").isNotNull() & F.col("outlet_id").isNotNull() & F.col("product_id").isNotNull() & F.col("quantity_sold").isNotNull()
+    complete = F.col("date").isNotNull()
+    for c in ("outlet_id", "product_id", "quantity_sold"):
+        complete = complete & F.col(c).isNotNull()
     one = typed.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count(F.when(complete, 1)).alias("usable_rows"),
-        F.count(F.when(F.col("quantity_sold") < 0, 1)).alias("negative_rows"))
-    reason = (F.when(F.col("usable_rows") == 0, "NO_VALID_ROWS").when(F.col("negative_rows") > 0, "NEGATIVE_QUANTITY"))
+        F.count(F.when(F.col("quantity_sold") < 0, 1)).alias("negative_rows"),
+        F.max("missing_columns").alias("missing_columns"))
+    reason = (F.when(F.col("missing_columns") != "", F.concat(F.lit("MISSING_COLUMNS:"), "missing_columns"))
+               .when(F.col("usable_rows") == 0, "NO_VALID_ROWS")
+               .when(F.col("negative_rows") > 0, "NEGATIVE_QUANTITY"))
     return one.withColumns({"reason": reason, "status": F.when(reason.isNull(), "PROCESSED").otherwise("REJECTED")})
 
 
-def write_batch(rows: DataFrame, batch: int, target: str, minimum_rows: int = 1000) -> None:
+def write_batch(files: DataFrame, batch: int, target: str, minimum_rows: int = 1000) -> None:
     """Split one micro-batch into accepted and quarantined rows and write its manifest."""
-    rows = coalesce_aliases(rows).persist()
-    try:
-        verdict = judge(rows).withColumn("batch", F.lit(batch))
-        verdict.write.mode("overwrite").parquet(f"{target}/manifest/batch={batch}")
-        verdict = rows.sparkSession.read.parquet(f"{target}/manifest/batch={batch}")
-        # One row per file of the batch, at most maxFilesPerTrigger.
-        judged = rows.join(F.broadcast(verdict.select("source_file", "status", "reason")), "source_file")
-        accepted = readers.typed_feed(judged.filter("status = 'PROCESSED'")).dropna(subset=list(readers.REQUIRED)).drop("status", "reason")
-        accepted.write.mode("overwrite").partitionBy("date").parquet(f"{target}/sales/batch={batch}")
-        judged.filter("status = 'REJECTED'").write.mode("overwrite").parquet(f"{target}/quarantine/batch={batch}")
-        if verdict.filter("status = 'PROCESSED'").isEmpty():
-            return
-        quality.sufficiency(rows.sparkSession.read.parquet(f"{target}/sales/batch={batch}"), minimum_rows).write.mode("overwrite").parquet(
-            f"{target}/sufficiency/batch={batch}")
-    finally:
-        rows.unpersist()
-
-
-def start_ingest(spark: SparkSession, incoming: str, target: str, checkpoint: str, fmt: str = "csv", minimum_rows: int = 1000,
+    spark = files.sparkSession
+    # At most maxFilesPerTrigger paths.
+    paths = [r["path"] for r in files.select("path").collect()]
+    if not paths:
+        return
+    rows = readers.read_files(spark, paths)
+    for c in readers.REQUIRED:
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast("string"))
+    rows = rows.select(*readers.REQUIRED, "source_file", "missing_columns")
+    judge(rows).write.mode("overwrite").parquet(f"{target}/manifest/batch={batch}")
+    verdict = spark.read.parquet(f"{target}/manifest/batch={batch}")
+    # One row per file of the batch.
+    judged = rows.join(F.broadcast(verdict.select("source_file", "status", "reason")), "source_file")
+    rejected = judged.filter("status = 'REJECTED'").drop("missing_columns", "status")
+    rejected.write.mode("overwrite").parquet(f"{target}/quarantine/batch={batch}")
+    accepted = readers.typed_feed(judged.filter("status = 'PROCESSED'")).dropna(subset=list(readers.REQUIRED))
+    (accepted.select(*readers.REQUIRED, "source_file").write.mode("overwrite").partitionBy("date")
+             .parquet(f"{target}/sales/batch={batch}"))
+    if not verdict.filter("status = 'PROCESSED'").isEmpty():
+        quality.sufficiency(spark.read.parquet(f"{target}/sales/batch={batch}"), minimum_rows).write.mode(
+            "overwrite").parquet(f"{target}/sufficiency/batch={batch}")
+
+
+def start_ingest(spark: SparkSession, incoming: str, target: str, checkpoint: str, minimum_rows: int = 1000,
                  max_files: int = 1000) -> StreamingQuery:
     """Process everything that waits in `incoming`, then stop; run it again for new files."""
-    return (feed_stream(spark, incoming, fmt, max_files).writeStream
-            .foreachBatch(lambda df, batch: write_batch(df, batch, target, minimum_rows))
+    return (feed_stream(spark, incoming, max_files).writeStream
+            .foreachBatch(lambda files, batch: write_batch(files, batch, target, minimum_rows))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
