@@ -68,12 +68,36 @@ def order_velocity(df: DataFrame, target: str = TARGET, keys=SERIES) -> DataFram
     return df.withColumns(made)
 
 
+def _from_base() -> dict[str, Column]:
+    """Trend, volatility and velocity as plain expressions over lag and rolling columns."""
+    one, seven, fourteen = (F.col(f"lag_{k}") for k in (1, 7, 14))
+    mean = {n: F.col(f"rolling_mean_{n}") for n in WINDOWS}
+    out = {
+        "trend_1d": one - F.col("lag_2"),
+        "trend_7d": one - seven,
+        "trend_14d": one - fourteen,
+        "trend_ratio_7d": ratio(one, seven),
+        "trend_ratio_14d": ratio(one, fourteen),
+        "trend_acceleration": (one - seven) - (one - fourteen),
+    }
+    for n in WINDOWS:
+        out[f"volatility_{n}"] = F.col(f"rolling_std_{n}")
+        out[f"coefficient_variation_{n}"] = ratio(f"rolling_std_{n}", mean[n])
+    out |= {f"order_velocity_{n}d": mean[n] for n in (3, 7, 14)}
+    out["order_velocity_change"] = mean[3] - mean[14]
+    return out
+
+
 def model_features(df: DataFrame, target: str = TARGET, keys=SERIES, date: str = "date") -> DataFrame:
-    """The full feature set of the boosted-tree forecaster: calendar, series, context."""
+    """The full feature set of the boosted-tree forecaster: calendar, series, context.
+
+    Lags and rolling statistics are computed once; the other series features are expressions
+    over them, equal to what their own operators give.
+    """
     df = calendar.time_features(df, date)
     if target in df.columns and set(keys) <= set(df.columns):
-        for step in (lag_features, rolling_features, trend_features, volatility_features, order_velocity):
-            df = step(df, target, keys)
+        df = df.transform(lag_features, target, keys).transform(rolling_features, target, keys)
+        df = df.withColumns(_from_base())
     return calendar.context_features(calendar.seasonality(df))
 
 

@@ -35,6 +35,9 @@ def tokenize(text: str | Column) -> Column:
     return F.filter(F.split(words, r"\s+"), lambda w: w != "")
 
 
+WATCHED = sorted({t for terms in (*SIGNALS.values(), INTENSITY) for t in terms})
+
+
 def _count(tokens: Column, terms) -> Column:
     return F.size(F.filter(tokens, lambda t: t.isin(*terms)))
 
@@ -42,13 +45,15 @@ def _count(tokens: Column, terms) -> Column:
 def text_features(df: DataFrame, text: str = "text") -> DataFrame:
     """Counts, scores and flags per signal, on the whole text of every row."""
     df = df.withColumn("_tokens", tokenize(text))
-    tokens = F.col("_tokens")
+    # One hash lookup per word finds the few watched ones; the signals only look at those.
+    df = df.withColumn("_hits", F.filter("_tokens", lambda t: t.isin(*WATCHED)))
+    tokens, hits = F.col("_tokens"), F.col("_hits")
     df = df.withColumns({
         "text_token_count": F.size(tokens).cast("double"),
         "text_unique_token_count": F.size(F.array_distinct(tokens)).cast("double"),
         "text_length": F.length(F.coalesce(F.col(text), F.lit(""))).cast("double"),
-        **{f"text_{name}_count": _count(tokens, terms).cast("double") for name, terms in SIGNALS.items()},
-        "_intense": _count(tokens, INTENSITY).cast("double"),
+        **{f"text_{name}_count": _count(hits, terms).cast("double") for name, terms in SIGNALS.items()},
+        "_intense": _count(hits, INTENSITY).cast("double"),
     })
     size = F.greatest("text_token_count", F.lit(1.0))
     made: dict[str, Column] = {"text_vocabulary_density": F.col("text_unique_token_count") / size}
@@ -65,7 +70,7 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
         "text_quality": F.when(F.col("text_token_count") > 0, F.least(quality, F.lit(1.0))).otherwise(0.0),
         "text_available": F.lit(1.0),
     }
-    return df.withColumns(made).drop("_tokens", "_intense")
+    return df.withColumns(made).drop("_tokens", "_hits", "_intense")
 
 
 # Share of each modality in the fusion score.
