@@ -6,6 +6,10 @@ Both sides end in the same projection, written once as a small spec:
 
 `:d` is an ISO date string, `:<digits>` a rounded double, `:i` a bigint, `:b` a flag as 0/1;
 a bare name passes through.
+
+Means over a power of two of rows end exactly in half a unit of the last digit, where the last
+bit of a sum decides the rounding. NUDGE, far below any rounding digit and far above that last
+bit, is added on both sides so that such ties fall the same way.
 """
 
 from __future__ import annotations
@@ -17,6 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+NUDGE = 3e-10
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
@@ -45,7 +52,7 @@ def project(df: DataFrame, columns: str) -> DataFrame:
         elif kind == "b":
             c = c.cast("int").cast("bigint")
         elif kind:
-            c = F.round(c.cast("double"), int(kind)) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(NUDGE), int(kind)) + F.lit(0.0)
         out.append(c.alias(name))
     return df.select(*out)
 
@@ -61,7 +68,7 @@ def project_sql(sql: str, columns: str) -> str:
         elif kind == "b":
             c = f"CAST(CAST({c} AS INTEGER) AS BIGINT)"
         elif kind:
-            c = f"round(CAST({c} AS DOUBLE), {kind}) + 0.0"
+            c = f"round(CAST({c} AS DOUBLE) + {NUDGE:.1e}::DOUBLE, {kind}) + 0.0"
         out.append(f'{c} AS "{name}"')
     return f"SELECT {', '.join(out)}\nFROM (\n{sql}\n) AS answer"
 
