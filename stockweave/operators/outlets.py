@@ -79,6 +79,9 @@ def outlet_profiles(outlets: DataFrame, demand: DataFrame) -> DataFrame:
         "deconstrained_demand": F.greatest("deconstrained_demand", F.lit(0.0)),
         "estimated_lost_demand": F.greatest("estimated_lost_demand", F.lit(0.0)),
     }).filter(F.col("outlet_id").isNotNull())
+    # Read twice (days and breadth), so what led to it runs once.
+    facts = cut(facts.select("outlet_id", "product_id", "date", "quantity_sold", "deconstrained_demand",
+                             "estimated_lost_demand", "stockout"))
     daily = facts.groupBy("outlet_id", "date").agg(
         F.sum("quantity_sold").alias("observed"),
         F.sum("deconstrained_demand").alias("demand"),
@@ -143,6 +146,8 @@ def outlet_behavior(demand: DataFrame) -> DataFrame:
     facts = demand.select(
         F.col("outlet_id").cast("string").alias("outlet_id"), F.col("product_id").cast("string").alias("product_id"),
         "date", F.greatest(F.coalesce(to_number("deconstrained_demand"), F.lit(0.0)), F.lit(0.0)).alias("demand"))
+    # Read by days and by products, so what led to it runs once.
+    facts = cut(facts)
     daily = facts.groupBy("outlet_id", "date").agg(F.sum("demand").alias("demand"))
     d = F.col("demand")
     marks = F.percentile(d, F.array(*[F.lit(p) for p in (0.10, 0.90)])).over(per_outlet())

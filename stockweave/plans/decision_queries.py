@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 from ..operators import daily, decisions
 from ..sources import demand_tables as src
+from .feature_queries import with_context
+from .lineage import cut
 from .registry import cte, query
 
 SERIES = "PARTITION BY outlet_id, product_id"
 
 
 def history(spark, sf):
-    from .feature_queries import with_context
-    return with_context(spark, sf)
+    """Stored, because the last day is looked up before the report is built."""
+    return cut(with_context(spark, sf))
 
 
 cte("ranked_days", f"""

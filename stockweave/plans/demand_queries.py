@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from ..operators import cultural, lost_demand, spikes, stockout
 from ..sources import demand_tables as src
-from .feature_queries import KEY
+from .feature_queries import KEY, with_context
+from .lineage import cut
 from .oracle_parts import SERIES, clip, lag, roll, expand
 from .registry import cte, query
 
 
 def stock(spark, sf):
-    facts = src.daily_facts(spark, sf)
+    """Sales and inventory. Both come from the line items, which are scanned once and stored."""
+    facts = cut(src.daily_facts(spark, sf))
     return src.sales(facts), src.inventory(facts)
 
 
@@ -396,6 +398,11 @@ FROM spike_base
 """, "spike_base")
 
 
+def spike_input(spark, sf):
+    """Stored, because the drivers read it for two quantiles before the main pass."""
+    return cut(with_context(spark, sf))
+
+
 @query("spike_detection", f"{KEY} spike_baseline_mean:6 spike_baseline_std:6 spike_baseline_median:6 "
        "spike_history_count:i spike_baseline:6 spike_absolute_lift:6 spike_ratio:6 spike_percentage_lift:6 "
        "spike_z_score:5 spike_robust_score:5 spike_history_ready:b is_demand_spike:b spike_score:6 "
@@ -403,7 +410,6 @@ FROM spike_base
 SELECT *, m AS spike_baseline_mean, s AS spike_baseline_std, med AS spike_baseline_median,
   n AS spike_history_count, b AS spike_baseline, lift AS spike_absolute_lift FROM spike_found""", "spike_found")
 def _(spark, sf):
-    from .feature_queries import with_context
     return spikes.detect_spikes(with_context(spark, sf))
 
 
@@ -420,7 +426,6 @@ SELECT *, CASE spike_severity WHEN 'extreme' THEN 3 WHEN 'major' THEN 2 WHEN 'mo
     ELSE 'normal' END AS spike_priority
 FROM spike_severe""", "spike_severe")
 def _(spark, sf):
-    from .feature_queries import with_context
     return spikes.spike_severity(spikes.detect_spikes(with_context(spark, sf)))
 
 
@@ -443,8 +448,7 @@ FROM (
 SELECT *, signals AS spike_context_signal_count, signals >= 2 AS spike_multi_context,
   extreme AS spike_temperature_extreme FROM spike_driven""", "spike_driven")
 def _(spark, sf):
-    from .feature_queries import with_context
-    return spikes.spike_drivers(spikes.spike_severity(spikes.detect_spikes(with_context(spark, sf))))
+    return spikes.spike_drivers(spikes.spike_severity(spikes.detect_spikes(spike_input(spark, sf))))
 
 
 cte("spike_runs", f"""
@@ -466,15 +470,13 @@ FROM (
 SELECT *, episode AS spike_episode_id, length AS spike_episode_length, spike_ratio AS post_spike_demand_ratio
 FROM spike_runs""", "spike_runs")
 def _(spark, sf):
-    from .feature_queries import with_context
     return spikes.spike_persistence(spikes.detect_spikes(with_context(spark, sf)))
 
 
 @query("spike_analysis", f"{KEY} is_demand_spike:b spike_score:6 spike_severity spike_driver_class spike_pattern",
        "SELECT * FROM spike_runs", "spike_runs")
 def _(spark, sf):
-    from .feature_queries import with_context
-    return spikes.spike_analysis(with_context(spark, sf))
+    return spikes.spike_analysis(spike_input(spark, sf))
 
 
 @query("spike_summary", "rows:i spikes:i spike_rate:6 moderate_spikes:i major_spikes:i extreme_spikes:i "
@@ -490,14 +492,13 @@ SELECT count(*) AS rows, count(*) FILTER (is_demand_spike) AS spikes,
   count(*) FILTER (spike_recovery_day) AS recovery_days
 FROM spike_runs""", "spike_runs")
 def _(spark, sf):
-    from .feature_queries import with_context
-    return spikes.spike_summary(spikes.spike_analysis(with_context(spark, sf)))
+    return spikes.spike_summary(spikes.spike_analysis(spike_input(spark, sf)))
 
 
 # --- cultural context ---------------------------------------------------------------------------------
 
 def cultural_inputs(spark, sf):
-    facts = src.daily_facts(spark, sf)
+    facts = cut(src.daily_facts(spark, sf))
     return (facts.select("outlet_id", "product_id", "date", F.col("quantity_sold").alias("demand")),
             cultural.prepare_calendar(src.calendar_days(facts)),
             cultural.prepare_demographics(src.demographics(src.outlets(spark, sf))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.windows import lagged, rolling
 from ..operators import baselines, ensemble, metrics, selection, splits
 from ..sources import demand_tables as src
+from .lineage import cut
 from .oracle_parts import lag, roll
 from .registry import cte, query
 
@@ -43,14 +44,14 @@ FROM predictions JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos
 @query("split_last_days", "split rows:i first_day:d last_day:d", """
 SELECT split, count(*) AS rows, min(date) AS first_day, max(date) AS last_day FROM split_days GROUP BY 1""", "split_days")
 def _(spark, sf):
-    return splits.last_days_split(predictions(spark, sf)).groupBy("split").agg(
+    return splits.last_days_split(cut(predictions(spark, sf))).groupBy("split").agg(
         F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
 
 
 @query("split_fractions", "split rows:i first_day:d last_day:d", """
 SELECT split, count(*) AS rows, min(date) AS first_day, max(date) AS last_day FROM split_parts GROUP BY 1""", "split_parts")
 def _(spark, sf):
-    return splits.fraction_split(predictions(spark, sf)).groupBy("split").agg(
+    return splits.fraction_split(cut(predictions(spark, sf))).groupBy("split").agg(
         F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
 
 
@@ -299,7 +300,7 @@ FROM (SELECT model_name, avg(abs(predicted - actual)) AS mae, sqrt(avg((predicte
 FROM hybrid_rows, (SELECT quantile_cont(actual, 0.75) AS q75, quantile_cont(actual, 0.9) AS q90 FROM split_days WHERE split = 'test') q
 GROUP BY 1) m LEFT JOIN global_weights g ON g.model_name = m.model_name) z""", ("hybrid_rows", "global_weights"))
 def _(spark, sf):
-    return ensemble.hybrid_evaluation(splits.last_days_split(predictions(spark, sf)), MODELS)
+    return ensemble.hybrid_evaluation(splits.last_days_split(cut(predictions(spark, sf))), MODELS)
 
 
 @query("adoption_decision", "candidate_mae:6 baseline_mae:6 improvement_pct:6 decision", """
@@ -308,7 +309,7 @@ FROM (SELECT *, (baseline_mae - candidate_mae) / greatest(baseline_mae, 1e-8) *
 FROM (SELECT avg(abs(moving - actual)) AS candidate_mae, avg(abs(naive - actual)) AS baseline_mae FROM split_days WHERE split = 'test') a) b""",
        "split_days")
 def _(spark, sf):
-    test = splits.last_days_split(predictions(spark, sf)).filter("split = 'test'")
+    test = splits.last_days_split(cut(predictions(spark, sf))).filter("split = 'test'")
     modes = F.array(F.struct(F.lit("multimodal").alias("mode"), F.col("moving").alias("p")),
                     F.struct(F.lit("history").alias("mode"), F.col("naive").alias("p")))
     rows = test.select("actual", F.inline(modes)).groupBy("mode").agg(F.avg(F.abs(F.col("p") - F.col("actual"))).alias("test_mae"))

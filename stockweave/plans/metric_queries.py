@@ -51,14 +51,14 @@ def _(spark, sf):
 SELECT (SELECT quantile_cont(actual, 0.9) FROM predictions) AS threshold, count(*) AS count, {METRICS_SQL}
 FROM predictions WHERE actual >= (SELECT quantile_cont(actual, 0.9) FROM predictions)""", "predictions")
 def _(spark, sf):
-    return metrics.high_demand(predictions(spark, sf))
+    return metrics.high_demand(cut(predictions(spark, sf)))
 
 
 @query("spike_recall", "spike_recall:6", """
 SELECT avg(CAST(predicted >= (SELECT quantile_cont(predicted, 0.9) FROM predictions) AS DOUBLE)) AS spike_recall
 FROM predictions WHERE actual >= (SELECT quantile_cont(actual, 0.9) FROM predictions)""", "predictions")
 def _(spark, sf):
-    return metrics.spike_recall(predictions(spark, sf))
+    return metrics.spike_recall(cut(predictions(spark, sf)))
 
 
 def _by(name: str, key: str):
@@ -98,7 +98,7 @@ FROM ev, radius, shifts""", "ev", "radius", "shifts")
 
 
 def parts(spark, sf):
-    df = cut(splits.fraction_split(predictions(spark, sf)))
+    df = splits.fraction_split(cut(predictions(spark, sf)))
     return df.filter("split = 'evaluation'"), df.filter("split = 'calibration'")
 
 

@@ -8,8 +8,7 @@ from ..operators import (baselines, cultural, decisions, ensemble, leakage, metr
                          spikes, stockout, supply, validators)
 from ..sources import demand_tables as src, readers
 from . import decision_queries, forecast_queries, metric_queries, outlet_queries, supply_queries
-from .demand_queries import cultural_inputs, demand
-from .feature_queries import with_context
+from .demand_queries import cultural_inputs, demand, spike_input
 from .lineage import cut
 from .registry import cte, query
 
@@ -232,7 +231,7 @@ def _clean(name: str, rules: int, make, unit: str = "rule"):
 _clean("profile_rules", 2, lambda s, d: validators.profile_rules(outlet_queries.profiles(s, d)))
 _clean("behavior_rules", 5, lambda s, d: validators.behavior_rules(outlets.outlet_behavior(demand(s, d))))
 _clean("performance_rules", 13, lambda s, d: validators.performance_rules(outlets.outlet_performance(demand(s, d))))
-_clean("spike_rules", 12, lambda s, d: validators.spike_rules(spikes.spike_analysis(with_context(s, d))))
+_clean("spike_rules", 12, lambda s, d: validators.spike_rules(spikes.spike_analysis(spike_input(s, d))))
 _clean("supply_rules", 21, lambda s, d: validators.supply_rules(supply.supply_recommendations(
     supply_queries.required(s, d), src.supply_inventory(s, d), supply.normalize_contract(src.supplier_contract(s, d)))))
 _clean("cultural_rules", 15, lambda s, d: validators.cultural_rules(cultural.cultural_effects(*cultural_inputs(s, d))))
@@ -276,7 +275,7 @@ SELECT r AS rule, 0 AS violations FROM (VALUES ('empty'), ('mae negative or miss
 def _(spark, sf):
     from ..operators import splits
     return validators.hybrid_rules(ensemble.hybrid_evaluation(
-        splits.last_days_split(forecast_queries.predictions(spark, sf)), forecast_queries.MODELS))
+        splits.last_days_split(cut(forecast_queries.predictions(spark, sf))), forecast_queries.MODELS))
 
 
 @query("layers_agree", "rule violations:i", """
