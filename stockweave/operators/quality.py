@@ -95,11 +95,17 @@ def unique_key(df: DataFrame, columns) -> DataFrame:
 
 
 def descending_dates(df: DataFrame, sequence: str, date: str = "date", partition=("outlet_id", "product_id")) -> DataFrame:
-    """Series whose days only fall along a given row sequence (one row per series)."""
-    previous = F.lag(date).over(Window.partitionBy(*partition).orderBy(sequence))
-    steps = df.withColumn("_rise", F.when(previous.isNotNull(), (F.col(date) > previous).cast("int")))
-    return steps.groupBy(*partition).agg(
-        (F.coalesce(F.max("_rise"), F.lit(1)) == 0).alias("descending"), F.count(F.lit(1)).alias("rows"))
+    """Series whose days never rise along a given row sequence (one row per series).
+
+    Rows are first reduced to the span of sequence numbers per day: the order falls exactly
+    when every later day ends before the day before it begins. A series with any number of
+    rows is therefore a window over its days only.
+    """
+    spans = df.filter(F.col(date).isNotNull()).groupBy(*partition, F.col(date).alias("_day")).agg(
+        F.min(sequence).alias("_first"), F.max(sequence).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    later = F.lead("_last").over(Window.partitionBy(*partition).orderBy("_day"))
+    return spans.withColumn("_rises", F.coalesce(later > F.col("_first"), F.lit(False))).groupBy(*partition).agg(
+        (~F.bool_or("_rises")).alias("descending"), F.sum("_n").alias("rows"))
 
 
 def foreign_keys(child: DataFrame, parent: DataFrame, child_column: str, parent_column: str | None = None) -> DataFrame:

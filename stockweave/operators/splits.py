@@ -45,8 +45,7 @@ def before(df: DataFrame, cutoff: date, day: str = "date") -> DataFrame:
 
 def keep_last(df: DataFrame, newer: DataFrame, keys) -> DataFrame:
     """Union in which a row of the newer frame replaces the older one with the same key."""
-    from pyspark.sql import Window
-
-    both = (df.withColumn("_age", F.lit(1)).unionByName(newer.withColumn("_age", F.lit(0)), allowMissingColumns=True))
-    order = Window.partitionBy(*keys).orderBy("_age")
-    return both.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_age", "_place")
+    both = df.withColumn("_age", F.lit(1)).unionByName(newer.withColumn("_age", F.lit(0)), allowMissingColumns=True)
+    row = F.struct(*[c for c in both.columns if c not in (*keys, "_age")])
+    # An aggregate, not a window: repeated rows of a key are reduced before the shuffle.
+    return both.groupBy(*keys).agg(F.min_by(row, "_age").alias("_row")).select(*keys, "_row.*")

@@ -5,6 +5,7 @@ A result is (rule, violations). Schema rules are decided without reading data.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,15 @@ SCHEMA = "rule string, violations bigint"
 TRUTH_COLUMNS = ("true_demand", "lost_demand_truth", "demand_truth", "actual_demand", "future_demand")
 
 
+def _applies(df: DataFrame, rule: Column) -> bool:
+    """Whether a rule's columns are in the schema; decided by analysis, no data is read."""
+    try:
+        df.select(rule)
+        return True
+    except AnalysisException:
+        return False
+
+
 def count_rules(df: DataFrame, rules: dict[str, Column], required=(), forbidden=(), key=None) -> DataFrame:
     """Count the rows that break each rule; add schema rules and, on request, key uniqueness."""
     spark = df.sparkSession
@@ -23,6 +33,8 @@ def count_rules(df: DataFrame, rules: dict[str, Column], required=(), forbidden=
     schema_rows += [(f"forbidden column {c}", 1) for c in forbidden if c in df.columns]
     if [c for c in required if c not in df.columns]:
         return spark.createDataFrame(schema_rows, SCHEMA)
+    schema_rows += [(f"not applicable: {n}", 1) for n, c in rules.items() if not _applies(df, c)]
+    rules = {n: c for n, c in rules.items() if (f"not applicable: {n}", 1) not in schema_rows}
     counters = {"empty": F.when(F.count(F.lit(1)) == 0, 1).otherwise(0)} | {n: count_where(F.coalesce(c, F.lit(True))) for n, c in rules.items()}
     one = df.agg(*[c.cast("bigint").alias(f"_{i}") for i, c in enumerate(counters.values())])
     out = one.select(F.inline(F.array(*[

@@ -119,7 +119,7 @@ def _(spark, sf):
 
 
 @query("descending_dates", "outlet_id descending:b rows:i", """
-SELECT CAST(user_id AS VARCHAR) AS outlet_id, coalesce(max(CAST(d > p AS INTEGER)), 1) = 0 AS descending, count(*) AS rows
+SELECT CAST(user_id AS VARCHAR) AS outlet_id, coalesce(max(CAST(d > p AS INTEGER)), 0) = 0 AS descending, count(*) AS rows
 FROM (SELECT user_id, CAST(ts AS DATE) AS d, lag(CAST(ts AS DATE)) OVER (PARTITION BY user_id ORDER BY event_id DESC) AS p FROM events) a
 GROUP BY 1""")
 def _(spark, sf):
@@ -284,3 +284,19 @@ UNION ALL SELECT 'outlets missing from catalog', count(DISTINCT outlet_id) FROM
        ("outlets", "facts"))
 def _(spark, sf):
     return validators.same_outlets(sales=src.daily_facts(spark, sf), catalog=src.outlets(spark, sf))
+
+
+# --- catalogs: the first row of a key, by an order column ------------------------------------------------
+
+@query("outlet_catalog", "outlet_id outlet_type country region city location_type", """
+SELECT outlet_id, outlet_type, country, region, city, location_type FROM outlets""", "outlets")
+def _(spark, sf):
+    once = src.outlets(spark, sf)
+    again = once.withColumn("outlet_type", F.concat(F.lit("z"), F.col("outlet_type")))
+    return readers.outlet_catalog(once.unionByName(again))
+
+
+@query("product_catalog", "product_id product_name category unit", """
+SELECT p_brand AS product_id, min(p_name) AS product_name, 'Unknown' AS category, 'units' AS unit FROM part GROUP BY 1""")
+def _(spark, sf):
+    return readers.product_catalog(src.table(spark, sf, "part").select(F.col("p_brand").alias("product_id"), F.col("p_name").alias("name")))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ColumnLike, as_col
+from .lineage import cut
 
 SMALL = 1_000_000
 SKETCH_ERROR = 1e-3
@@ -43,6 +44,7 @@ def order_statistics(df: DataFrame, value: ColumnLike, ranks: Callable[[int], li
     wanted = sorted(set(ranks(size["rows"])))
     if size["distinct_values"] <= small:
         return size["rows"], _pick_ranks(counted, wanted)
+    counted = cut(counted)
     return size["rows"], {r: _narrow(counted, r, size["distinct_values"], small) for r in wanted}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,8 +189,8 @@ def request_tables(df: DataFrame, column: str = "value") -> dict[str, DataFrame]
 
 def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key, chosen by an order column so that the choice is repeatable."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("_place", place).filter("_place = 1").drop("_place")
+    row = F.struct(*[c for c in df.columns if c != key])
+    return df.groupBy(key).agg(F.min_by(row, order).alias("_row")).select(key, "_row.*")
 
 
 def outlet_catalog(df: DataFrame, order: str = "outlet_type") -> DataFrame:
