@@ -1,6 +1,6 @@
 """Exact order statistics and linear quantiles of a whole column, without a one-task sort.
 
-The reference values are linearly interpolated quantiles, so sketches are not enough; but a
+Thresholds are linearly interpolated quantiles, so a sketch alone is not enough; but a
 `percentile` over a whole table gathers every distinct value in one task. Here a sketch
 (`approxQuantile`) brackets the wanted rank, the rows outside the bracket are only counted,
 and the bracket is narrowed again until the values inside are few. Only single numbers reach
