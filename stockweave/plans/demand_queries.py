@@ -465,7 +465,7 @@ FROM (
     FROM (SELECT *, coalesce({lag("is_demand_spike")}, false) AS was FROM spike_driven) a) b) c""", "spike_driven")
 
 
-@query("spike_persistence", f"{KEY} days_since_previous_spike:i spike_episode_id:i spike_episode_length:i "
+@query("spike_persistence", f"{KEY} days_since_previous_spike:6 spike_episode_id:i spike_episode_length:i "
        "spike_pattern spike_recovery_day:b spike_followed_by_spike:b post_spike_demand_ratio:6", """
 SELECT *, episode AS spike_episode_id, length AS spike_episode_length, spike_ratio AS post_spike_demand_ratio
 FROM spike_runs""", "spike_runs")
