@@ -2,37 +2,51 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: str | None = None
+_made: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in `spark.checkpoint.dir`.
+    """The folder the session names in `spark.checkpoint.dir`, which every executor reaches.
 
-    A folder of our own is made only where the session names none and runs in local mode, as
-    in tests; on a cluster every executor must reach the folder, so it has to be named.
+    Where the session names none, as in tests, it is a folder of our own in the warehouse, which
+    is shared as well.
     """
-    global _local_folder
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="stockweave-")
-    return _local_folder
+    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stockweave-cuts"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write the frame to the shared folder and read it back.
 
-    The stored table survives lost executors, is read by column, and has a known size, so
-    later joins are planned on real statistics.
+    The stored table survives lost executors, is read by column, and has a known size, so later
+    joins are planned on real statistics. It is deleted with `drop_cuts` or when the driver ends.
     """
     path = f"{shared_folder(df.sparkSession)}/stockweave-cut-{uuid4().hex}"
     df.write.parquet(path)
+    _made.add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete every table that `cut` has stored; call it when no frame made from them is read again."""
+    for path in list(_made):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _made.discard(path)
+
+
+def _at_end() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            drop_cuts(spark)
+        except Exception:  # noqa: BLE001 - the JVM may be gone by now; then the files stay
+            _made.clear()
+
+
+atexit.register(_at_end)
