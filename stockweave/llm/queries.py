@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, minhash, packing, urlfilter
+from . import decontaminate, htmltext, langid, minhash, packing, secrets, sharding, urlfilter, vectors, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,11 +25,24 @@ def op1_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op2_simhash_windows(spark, sf_dir):
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
 @query
 def op3_tag_path_ratios(spark, sf_dir):
     return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query
+def op4_virtual_slots(spark, sf_dir):
+    rows, _map = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"),
+                       F.lit(None).cast("int").alias("grown_shard"), F.col("slot").alias("virtual_slot"))
+
+
 RULES = [urlfilter.Rule("allow", "org/"), urlfilter.Rule("block", "example.org/es/"), urlfilter.Rule("block", "example.org/en/1"),
          urlfilter.Rule("allow", "com/fr/"), urlfilter.Rule("block", "com/de/")]
 
@@ -45,7 +58,28 @@ def op6_superminhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85)
 
 
+@query
+def op7_hyperplane_tables(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_language_hierarchy(spark, sf_dir):
     docs = langid.with_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return docs.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_randomness_battery(spark, sf_dir):
+    docs = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = [F.size(secrets.of_kind("spans", kind)).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS]
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return docs.select("doc_id", *count[:3], F.sha2(secrets.written(base), 256).alias("base_sha256"),
+                       secrets.written(F.col("spans")).alias("spans"))
+
+
+@query
+def op10_warc_derivatives(spark, sf_dir):
+    rows = warc.derive(warc.responses_of(table(spark, sf_dir, "pages")), key="page_id")
+    return rows.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "block_digest",
+                       F.length("block").cast("long").alias("content_length"), F.crc32(warc.serialised()).alias("record_crc32"))
