@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockweave.llm import decontaminate as benchmark
-from stockweave.llm import langid, minhash, packing, secrets
+from stockweave.llm import langid, minhash, packing, secretscan
 from stockweave.llm.common import cut, ship, table
 
 ORACLE_SQL = None  # the fitted language model and the signatures are beyond SQL; see tests/llm
@@ -35,7 +35,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark; n_chars follows the text."""
-    return secrets.redact(docs)
+    return secretscan.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

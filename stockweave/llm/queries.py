@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, langid, minhash, packing, secrets, sharding, urlfilter, vectors, warc
+from . import decontaminate, htmltext, langid, minhash, packing, secretscan, sharding, urlfilter, vectors, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,11 +71,11 @@ def op8_language_hierarchy(spark, sf_dir):
 
 @query
 def op9_randomness_battery(spark, sf_dir):
-    docs = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = [F.size(secrets.of_kind("spans", kind)).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS]
+    docs = secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = [F.size(secretscan.of_kind("spans", kind)).cast("long").alias(f"n_{kind}") for kind in secretscan.KINDS]
     base = F.filter("spans", lambda s: s["kind"] != "random")
-    return docs.select("doc_id", *count[:3], F.sha2(secrets.written(base), 256).alias("base_sha256"),
-                       secrets.written(F.col("spans")).alias("spans"))
+    return docs.select("doc_id", *count[:3], F.sha2(secretscan.written(base), 256).alias("base_sha256"),
+                       secretscan.written(F.col("spans")).alias("spans"))
 
 
 @query
