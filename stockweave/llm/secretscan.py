@@ -216,7 +216,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     made = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(
         acc["out"], text.substr((acc["at"] + 1).cast("int"), F.length(text))))
     changed = F.size("spans") > 0
-    out = {"text": F.when(changed, made).otherwise(F.col("text"))}
+    made = rows.withColumn("text", F.when(changed, made).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(changed, F.length(made)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+        n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        made = made.withColumn("n_chars", n_chars)
+    return made.select(*docs.columns)
