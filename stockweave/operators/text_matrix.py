@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizer, IDF, IDFModel, NGram, CountVectorizerModel
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, NGram
 from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 from .text_features import tokenize
 
-TERMS = 64
+SLOTS = 256  # terms are hashed, so none is left out; terms that share a slot are added up
 DIMENSIONS = 4
 
 
@@ -23,26 +23,25 @@ def _terms(df: DataFrame, text: str) -> DataFrame:
 
 
 class TextMatrix:
-    """Fitted on training texts only; the vocabulary (64 terms) and the projection are small."""
+    """Fitted on training texts only; the slots of the terms and the projection are small."""
 
-    def __init__(self, counts: CountVectorizerModel | None, idf: IDFModel | None, axes: list[list[float]]):
+    def __init__(self, counts: HashingTF | None, idf: IDFModel | None, axes: list[list[float]]):
         self.counts, self.idf, self.axes = counts, idf, axes
 
     @staticmethod
-    def fit(train: DataFrame, text: str, terms: int = TERMS, dimensions: int = DIMENSIONS, min_rows: int = 2) -> "TextMatrix":
+    def fit(train: DataFrame, text: str, slots: int = SLOTS, dimensions: int = DIMENSIONS) -> "TextMatrix":
         rows = cut(_terms(train, text).select("_terms"))
         if rows.filter(F.size("_terms") > 0).isEmpty():
             return TextMatrix(None, None, [])
-        counts = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=terms, minDF=min_rows).fit(rows)
+        counts = HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=slots)
         counted = counts.transform(rows)
         idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted)
         fitted = TextMatrix(counts, idf, [])
         vectors = fitted._weighted(counted).select(F.col("_weights").alias("v"))
         from pyspark.ml.functions import array_to_vector
         old = MLUtils.convertVectorColumnsFromML(vectors.select(array_to_vector("v").alias("v")), "v")
-        size = len(counts.vocabulary)
-        v = RowMatrix(old).computeSVD(min(dimensions, size), computeU=False).V.toArray()
-        fitted.axes = [[float(v[i][d]) for i in range(size)] for d in range(v.shape[1])]
+        v = RowMatrix(old).computeSVD(min(dimensions, slots), computeU=False).V.toArray()
+        fitted.axes = [[float(v[i][d]) for i in range(slots)] for d in range(v.shape[1])]
         return fitted
 
     def _weighted(self, counted: DataFrame) -> DataFrame:
@@ -51,7 +50,9 @@ class TextMatrix:
         raw = F.zip_with(vector_to_array("_tf"), idf, lambda t, w: F.when(t > 0, (1.0 + F.log(t)) * w).otherwise(0.0))
         df = counted.withColumn("_raw", raw)
         norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x * x))
-        return df.withColumn("_weights", F.transform("_raw", lambda x: F.when(norm > 0, x / norm).otherwise(0.0))).drop("_raw")
+        # The norm is bound to a variable: written into the inner function it would be computed for every slot.
+        scaled = F.transform(F.array(norm), lambda n: F.transform("_raw", lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+        return df.withColumn("_weights", F.get(scaled, 0)).drop("_raw")
 
     def transform(self, df: DataFrame, text: str, prefix: str = "text_") -> DataFrame:
         if self.counts is None:

@@ -78,7 +78,7 @@ def compact(spark, sf):
 
 
 def compact_model(features, **options):
-    return models.train(features, series.COMPACT_FEATURES, max_iter=10, **options)
+    return models.train(features, series.COMPACT_FEATURES, **options)
 
 
 @query("gbt_predictions", "outlet_id product_id date:d quantity_sold:6 prediction:6")
@@ -109,14 +109,14 @@ def _(spark, sf):
 def _(spark, sf):
     facts = cut(src.daily_facts(spark, sf).select("outlet_id", "product_id", "date", "quantity_sold"))
     start = daily.latest_day(facts) + timedelta(days=1)
-    model = models.train(series.model_features(facts), series.MODEL_FEATURES, max_iter=10)
+    model = models.train(series.model_features(facts), series.MODEL_FEATURES)
     return models.recursive_forecast(model, facts, start, 7)
 
 
 @query("gbt_ablation", "mode test_mae:6 test_rmse:6 test_smape:6 test_bias:6 test_high_demand_mae:6 test_spike_recall:6")
 def _(spark, sf):
     from .feature_queries import with_context
-    return models.ablation(with_context(spark, sf), ["history", "numeric"], max_iter=5)
+    return models.ablation(with_context(spark, sf), ["history", "numeric"])
 
 
 @query("learning_cycle", "rows:i champion_mae:6 candidate_mae:6 improvement_pct:6 passes:b action")
@@ -125,7 +125,7 @@ def _(spark, sf):
     old, new = facts.filter("date < DATE '1999-01-01'"), facts.filter("date >= DATE '1999-01-01'")
     champion = compact_model(series.compact_features(old))
     row, _model = models.learning_cycle(old, new, "quantity_sold", ["quantity_sold", "discount"], facts.filter("date < DATE '2000-06-01'"),
-                                        facts.filter("date >= DATE '2000-06-01'"), champion, force=True, max_iter=10)
+                                        facts.filter("date >= DATE '2000-06-01'"), champion, force=True)
     return row
 
 
