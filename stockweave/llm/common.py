@@ -18,12 +18,13 @@ __all__ = ["BROADCAST_ROWS", "cut", "ship", "sized", "table", "text_or_empty"]
 BROADCAST_ROWS = 500_000
 
 
-BATCH_ROWS = 1000  # rows of an Arrow batch, so that a batch of long texts stays small
+BATCH_ROWS, BATCH_BYTES = 1000, "4m"  # of an Arrow batch: whichever is reached first ends it, so long texts come in short batches
 
 
 def ship(spark: SparkSession) -> None:
     """Bound Arrow batches, and make this package importable on the executors unless PYTHONPATH names it already."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root, context = Path(__file__).resolve().parents[2], spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_stockweave_shipped", False):
         return
