@@ -75,6 +75,15 @@ def require_columns(df: DataFrame, columns, where: str = "input") -> DataFrame:
     return df
 
 
+def gate(df: DataFrame, broken: Column, message: ColumnLike) -> DataFrame:
+    """The rows unchanged; any action that meets a broken row fails, whichever columns it reads.
+
+    A filter stays in the plan where a checked column would be pruned with the column.
+    """
+    text = F.lit(message) if isinstance(message, str) else message
+    return df.filter(F.when(flag(broken), F.raise_error(text).cast("boolean")).otherwise(F.lit(True)))
+
+
 def pick_column(df: DataFrame, candidates) -> str | None:
     """First candidate present in the frame, compared without case."""
     present = {name.lower(): name for name in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip, column_or, require_columns, to_number
+from ..functions.exprs import clip, column_or, flag, gate, require_columns, to_number
 from ..functions.windows import DAY_KEY, lagged, rolling
 
 IMPORTANCE = ("holiday", "religious", "event")
@@ -15,11 +15,6 @@ DEMOGRAPHIC_NUMBERS = ("population_density", "tourism_index", "student_index", "
 DEMOGRAPHIC_LABELS = ("dominant_religious_context", "demographic_context", "city_class")
 
 
-def _checked(value: Column, condition: Column, message: str) -> Column:
-    """The value, or a failing task when it breaks a contract: no extra pass over the data."""
-    return F.when(condition, value).otherwise(F.raise_error(F.lit(message)).cast("double"))
-
-
 def prepare_calendar(df: DataFrame) -> DataFrame:
     """Canonical importance columns in [0, 1] and their active flags."""
     require_columns(df, ["outlet_id", "date"], "calendar")
@@ -30,8 +25,8 @@ def prepare_calendar(df: DataFrame) -> DataFrame:
         if found is None:
             made[name] = F.lit(0.0)
         else:
-            value = to_number(found)
-            made[name] = _checked(value, value.between(0.0, 1.0), f"{name} must be a number within [0, 1]")
+            made[name] = to_number(found)
+            df = gate(df, ~flag(made[name].between(0.0, 1.0)), f"{name} must be a number within [0, 1]")
     df = df.withColumns(made)
     return df.withColumns({
         "holiday_active": (F.col("holiday_importance") > 0).cast("int"),

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip, column_or, count_where, first_rule, pick_column, require_columns, to_number
+from ..functions.exprs import clip, column_or, count_where, first_rule, gate, pick_column, require_columns, to_number
 from ..functions.windows import SERIES
 
 # Accepted names of the demand and stock columns, in order of preference.
@@ -169,17 +169,17 @@ OUTLET_DETAILS = ("cuisine", "capacity", "kitchen_type", "delivery_available", "
 
 
 def with_outlet_identity(df: DataFrame, outlets: DataFrame) -> DataFrame:
-    """Nested outlet identity; an outlet the catalog does not know fails the task."""
+    """Nested outlet identity; an outlet the catalog does not know fails every action."""
     known = outlets.select("outlet_id", F.lit(True).alias("_known"), *[
         column_or(outlets, c, None).alias(f"_{c}") for c in (*OUTLET_FIELDS, *OUTLET_DETAILS)
     ]).dropDuplicates(["outlet_id"])
-    checked = F.when(F.col("_known"), F.col("outlet_id")).otherwise(
-        F.raise_error(F.concat(F.lit("outlet not in the catalog: "), F.col("outlet_id"))))
     identity = F.struct(
-        checked.alias("outlet_id"), F.concat(F.lit("Outlet "), F.col("outlet_id")).alias("outlet_name"),
+        "outlet_id", F.concat(F.lit("Outlet "), F.col("outlet_id")).alias("outlet_name"),
         *[F.coalesce(F.col(f"_{c}").cast("string"), F.lit("unknown")).alias(c) for c in OUTLET_FIELDS],
         *[F.col(f"_{c}").alias(c) for c in OUTLET_DETAILS])
-    return (df.join(known, "outlet_id", "left").withColumn("outlet", identity)
+    named = gate(df.join(known, "outlet_id", "left"), F.col("_known").isNull(),
+                 F.concat(F.lit("outlet not in the catalog: "), F.coalesce(F.col("outlet_id").cast("string"), F.lit("null"))))
+    return (named.withColumn("outlet", identity)
               .drop("_known", *[f"_{c}" for c in (*OUTLET_FIELDS, *OUTLET_DETAILS)]))
 
 

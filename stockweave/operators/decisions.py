@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import column_or, first_rule, require_columns
+from ..functions.exprs import column_or, first_rule, gate, require_columns
 
 DEFAULTS = {"current_inventory": 0.0, "lead_time_days": 1.0, "safety_stock": 0.0, "minimum_order_quantity": 0.0,
             "order_multiple": 1.0, "scenario_multiplier": 1.0, "demand_confidence": 1.0}
@@ -34,12 +34,11 @@ def requests(df: DataFrame) -> DataFrame:
 
 
 def decide(df: DataFrame) -> DataFrame:
-    """Order, risk and action of each request; a request that breaks its contract fails the task."""
+    """Order, risk and action of each request; a request that breaks its contract fails every action."""
     df = requests(df)
     errors = request_errors(df)
-    valid = F.when(F.size(errors) == 0, F.col("forecast_demand")).otherwise(
-        F.raise_error(F.array_join(errors, "; ")).cast("double"))
-    df = df.withColumn("adjusted_forecast", F.greatest(valid * F.col("scenario_multiplier"), F.lit(0.0)))
+    df = gate(df, F.size(errors) > 0, F.array_join(errors, "; "))
+    df = df.withColumn("adjusted_forecast", F.greatest(F.col("forecast_demand") * F.col("scenario_multiplier"), F.lit(0.0)))
     df = df.withColumns({
         "lead_time_demand": F.col("adjusted_forecast") * F.greatest("lead_time_days", F.lit(1.0)),
         "inventory_position": F.col("current_inventory"),

@@ -7,7 +7,7 @@ from math import isfinite
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip, column_or, ratio, require_columns, to_number
+from ..functions.exprs import clip, column_or, gate, ratio, require_columns, to_number
 
 MULTIPLIERS = ("holiday_multiplier", "promotion_multiplier", "event_multiplier", "weather_multiplier",
                "tourism_multiplier", "demographic_multiplier", "cultural_multiplier")
@@ -48,9 +48,10 @@ def scenario_table(spark: SparkSession, scenarios: list[dict]) -> DataFrame:
 def apply_scenario(df: DataFrame, baseline: str = "baseline_demand") -> DataFrame:
     """Demand under the multipliers of each row."""
     require_columns(df, [baseline], "scenario")
-    df = df.withColumns({m: clip(F.coalesce(to_number(column_or(df, m, 1.0)),
-                                            F.raise_error(F.lit(f"{m} is not a number")).cast("double")), LOW, HIGH)
-                         for m in MULTIPLIERS})
+    for m in MULTIPLIERS:
+        if m in df.columns:
+            df = gate(df, to_number(m).isNull(), f"{m} is not a number")
+    df = df.withColumns({m: clip(to_number(column_or(df, m, 1.0)), LOW, HIGH) for m in MULTIPLIERS})
     product = F.lit(1.0)
     for m in MULTIPLIERS:
         product = product * F.col(m)

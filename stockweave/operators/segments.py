@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -14,6 +17,7 @@ from ..plans.quantiles import exact_quantiles
 
 FEATURES = ("average_daily_demand", "coefficient_variation", "peak_intensity", "demand_growth_rate", "fulfillment_rate",
             "lost_demand_rate", "stockout_product_day_rate", "performance_score", "opportunity_index", "risk_index")
+PARALLEL_STARTS = 8
 
 
 def clustering_matrix(performance: DataFrame) -> DataFrame:
@@ -34,10 +38,17 @@ def evaluate_kmeans(matrix: DataFrame, min_clusters: int = 2, max_clusters: int
     if min_clusters > top:
         raise ValueError("min_clusters is larger than the number of outlets allows")
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster_id")
+
+    def start(at: tuple[int, int]):
+        k, i = at
+        return KMeans(k=k, seed=42 + i, featuresCol="features", predictionCol="cluster_id").fit(matrix)
+
+    tries = [(k, i) for k in range(min_clusters, top + 1) for i in range(restarts)]
+    with ThreadPool(PARALLEL_STARTS) as pool:  # as Spark's own parameter search does: small independent jobs
+        fits = pool.map(inheritable_thread_target(matrix.sparkSession)(start), tries)
     found = []
     for k in range(min_clusters, top + 1):
-        fits = [KMeans(k=k, seed=42 + i, featuresCol="features", predictionCol="cluster_id").fit(matrix) for i in range(restarts)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
+        best = min((m for (at, _), m in zip(tries, fits) if at == k), key=lambda m: m.summary.trainingCost)
         sizes = best.summary.clusterSizes
         if len([s for s in sizes if s]) < 2:
             continue

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio, require_columns, to_number
 from ..functions.windows import SERIES, expanding, lagged, rolling, series
+from ..plans.lineage import cut
 from . import calendar
 
 TARGET = "quantity_sold"
@@ -170,14 +171,15 @@ def outlet_product_features(df: DataFrame, target: str = TARGET) -> DataFrame:
 
     Outlet-day and product-day totals are aggregated first (partial aggregation keeps a
     dominant outlet or product from landing in one task) and their running statistics are
-    computed on those small tables, then joined back.
+    computed on those small tables, then joined back. The rows with their lag are stored once,
+    since all three branches read them.
     """
     require_columns(df, [*SERIES, "date", target], "outlet_product_features")
-    df = df.withColumns({
+    df = cut(df.withColumns({
         "_history": lagged(target).cast("double"),
         "advanced_pair_mean": expanding(target, F.avg, 1),
         "advanced_pair_std": expanding(target, F.stddev_samp, 2),
-    })
+    }))
 
     def level(key: str, name: str) -> DataFrame:
         daily = df.groupBy(key, "date").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import as_col, clip, first_rule, ratio, require_columns, to_number
+from ..functions.exprs import as_col, clip, first_rule, gate, ratio, require_columns, to_number
 
 BOM_COLUMNS = ("product_id", "supply_product_id", "quantity_per_unit", "supply_unit")
 CONTRACT_COLUMNS = ("supply_product_id", "supplier_id", "lead_time_days", "minimum_order_quantity", "order_multiple")
@@ -161,6 +161,7 @@ def inventory_recommendations(df: DataFrame, service_level: float = 0.95, review
     """
     require_columns(df, ["daily_forecast", "demand_std", "lead_time_days", "inventory_position", "pack_size"],
                     "inventory_recommendations")
+    df = gate(df, F.size("daily_forecast") < F.col("lead_time_days"), "the forecast is shorter than the lead time")
     df = df.withColumns({
         "forecast_demand": F.get("daily_forecast", F.lit(0)),
         "lead_time_demand": lead_time_demand("daily_forecast", "lead_time_days"),

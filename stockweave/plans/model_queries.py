@@ -22,7 +22,7 @@ FROM (SELECT outlet_id, product_id, list(prediction ORDER BY horizon) AS f FROM
 JOIN (SELECT outlet_id, product_id, avg(quantity_sold) AS baseline, coalesce(stddev_samp(quantity_sold), 0) AS deviation
       FROM (SELECT *, row_number() OVER (PARTITION BY outlet_id, product_id ORDER BY date DESC) AS back FROM facts) a
       WHERE back <= 28 GROUP BY 1, 2) l USING (outlet_id, product_id)
-LEFT JOIN (SELECT outlet_id AS io, product_id AS ip, max_by(closing_stock, date) AS stock, 1 + count(*) % 9 AS lead
+LEFT JOIN (SELECT outlet_id AS io, product_id AS ip, max_by(closing_stock, date) AS stock, 1 + count(*) % 12 AS lead
            FROM facts GROUP BY 1, 2 HAVING count(*) % 5 <> 0) inv ON io = outlet_id AND ip = product_id
 JOIN outlets o ON o.outlet_id = t.outlet_id JOIN products p ON p.product_id = t.product_id""",
     "fact_forecast", "facts", "outlets", "products")
@@ -31,32 +31,32 @@ SELECT outlet_id, product_id, list(quantity_sold ORDER BY date) FILTER (back <=
 FROM (SELECT *, row_number() OVER (PARTITION BY outlet_id, product_id ORDER BY date DESC) AS back FROM facts) a GROUP BY 1, 2""", "facts")
 cte("fact_forecast", """
 SELECT outlet_id, product_id, h AS horizon, CASE WHEN len(t) >= 7 THEN t[(h - 1) % 7 + 1] ELSE t[-1] END AS prediction
-FROM fact_tails, range(1, 8) r(h)""", "fact_tails")
+FROM fact_tails, range(1, 10) r(h)""", "fact_tails")
 cte("client_rows", """
-SELECT *, CASE WHEN stock IS NULL THEN 'INVENTORY_DATA_REQUIRED' WHEN recommended_order > 0 THEN 'REPLENISH' ELSE 'NO_ACTION' END AS action,
-  CASE WHEN stock IS NULL THEN 'UNKNOWN' WHEN stock < lead_time_demand THEN 'HIGH' ELSE 'LOW' END AS stockout_risk
+SELECT *, CASE WHEN stock IS NULL THEN 'INVENTORY_DATA_REQUIRED' WHEN lead_time_demand IS NULL THEN 'LONGER_FORECAST_REQUIRED' WHEN recommended_order > 0 THEN 'REPLENISH' ELSE 'NO_ACTION' END AS action,
+  CASE WHEN stock IS NULL OR lead_time_demand IS NULL THEN 'UNKNOWN' WHEN stock < lead_time_demand THEN 'HIGH' ELSE 'LOW' END AS stockout_risk
 FROM (SELECT *, CASE WHEN shortage > 0 THEN ceil(greatest(shortage, 5) / 6) * 6 ELSE shortage END AS recommended_order
-FROM (SELECT *, CASE WHEN stock IS NOT NULL THEN greatest(lead_time_demand + safety_stock - stock, 0) END AS shortage,
+FROM (SELECT *, CASE WHEN stock IS NOT NULL AND lead_time_demand IS NOT NULL THEN greatest(lead_time_demand + safety_stock - stock, 0) END AS shortage,
   CASE WHEN change >= 0.2 THEN 'HIGH' WHEN change >= 0.08 THEN 'MODERATE' ELSE 'LOW' END AS demand_risk
-FROM (SELECT *, f[1] AS d1, f[1] + f[2] + f[3] AS d3, list_sum(f) AS d7, (f[1] - greatest(baseline, 1e-6)) / greatest(baseline, 1e-6) AS change,
-  greatest(least(coalesce(lead, 1), 7), 1) AS lead_time_days, list_sum(f[1:greatest(least(coalesce(lead, 1), 7), 1)]) AS lead_time_demand,
+FROM (SELECT *, f[1] AS d1, f[1] + f[2] + f[3] AS d3, list_sum(f[1:7]) AS d7, (f[1] - greatest(baseline, 1e-6)) / greatest(baseline, 1e-6) AS change,
+  coalesce(lead, 1) AS lead_time_days, CASE WHEN coalesce(lead, 1) <= 9 THEN list_sum(f[1:coalesce(lead, 1)]) END AS lead_time_demand,
   1.65 * deviation AS safety_stock FROM client_base) a) b) c""", "client_base")
 
 
 def seasonal(spark, sf):
-    facts = src.daily_facts(spark, sf)
-    return facts, baselines.pivot_horizon(baselines.baseline_forecast(facts, 7, ["seasonal_naive"]))
+    facts = cut(src.daily_facts(spark, sf).select("outlet_id", "product_id", "date", "quantity_sold", "closing_stock"))
+    return facts, baselines.pivot_horizon(baselines.baseline_forecast(facts, 9, ["seasonal_naive"]), steps=9)
 
 
 @query("client_actions", "outlet_id product_id outlet_name product_name d1:6 d3:6 d7:6 demand_risk demand_change_pct:6 shortage:6 "
        "safety_stock:6 lead_time_days:i lead_time_demand:6 recommended_order:6 stockout_risk priority action", """
 SELECT *, change * 100 AS demand_change_pct, CASE WHEN action = 'REPLENISH' AND (stockout_risk = 'HIGH' OR demand_risk = 'HIGH') THEN 'HIGH'
-  WHEN action = 'REPLENISH' THEN 'MODERATE' ELSE 'LOW' END AS priority FROM client_rows""", "client_rows")
+  WHEN action IN ('REPLENISH', 'LONGER_FORECAST_REQUIRED') THEN 'MODERATE' ELSE 'LOW' END AS priority FROM client_rows""", "client_rows")
 def _(spark, sf):
     facts, wide = seasonal(spark, sf)
     stock = facts.groupBy("outlet_id", "product_id").agg(
         F.max_by("closing_stock", "date").alias("current_inventory"), F.count(F.lit(1)).alias("n")).filter("n % 5 <> 0")
-    stock = stock.select("outlet_id", "product_id", "current_inventory", (1 + F.col("n") % 9).alias("lead_time_days"),
+    stock = stock.select("outlet_id", "product_id", "current_inventory", (1 + F.col("n") % 12).alias("lead_time_days"),
                          F.lit(5.0).alias("minimum_order_quantity"), F.lit(6.0).alias("order_multiple"))
     return client.client_actions(wide, facts, stock, src.outlets(spark, sf), src.products(spark, sf), include_normal=True)
 
@@ -133,7 +133,7 @@ def _(spark, sf):
 
 @query("outlet_segments", "outlet_id cluster_id:i cluster_size:i segment_name")
 def _(spark, sf):
-    return segments.outlet_segments(outlets.outlet_performance(demand(spark, sf)), max_clusters=5, restarts=2)
+    return segments.outlet_segments(outlets.outlet_performance(demand(spark, sf)))
 
 
 # Classes and names of the segments follow from the cluster means; here the clusters are regions.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import column_or, pick_column, require_columns, to_number
+from ..functions.exprs import column_or, gate, pick_column, require_columns, to_number
 from ..operators import calendar, quality
 
 FORMATS = ("csv", "parquet", "json")
@@ -156,8 +156,7 @@ def typed_feed(df: DataFrame) -> DataFrame:
 def canonical_feed(df: DataFrame) -> DataFrame:
     """A client feed with complete rows only; one negative quantity refuses the whole feed."""
     rows = typed_feed(df).dropna(subset=list(REQUIRED))
-    refused = F.raise_error(F.lit("client quantity_sold contains negative values")).cast("double")
-    return rows.withColumn("quantity_sold", F.when(F.col("quantity_sold") < 0, refused).otherwise(F.col("quantity_sold")))
+    return gate(rows, F.col("quantity_sold") < 0, "client quantity_sold contains negative values")
 
 
 def daily_grain(df: DataFrame) -> DataFrame:
@@ -176,11 +175,20 @@ REQUEST_SCHEMA = """client_id string, as_of_date string, top_n int, include_norm
 
 
 def request_tables(df: DataFrame, column: str = "value") -> dict[str, DataFrame]:
-    """JSON requests, one per row, to four tables keyed by client_id."""
+    """JSON requests, one per row, to tables keyed by client_id.
+
+    `refused` holds the sales rows that are not used, as they came, each with a reason.
+    """
     parsed = df.select(F.from_json(column, REQUEST_SCHEMA).alias("request")).select("request.*")
     tables = {name: parsed.select("client_id", F.inline(name)) for name in ("inventory", "outlets", "products")}
-    rows = typed_feed(parsed.select("client_id", F.inline("sales"))).dropna(subset=["client_id", *REQUIRED])
-    tables["sales"] = (rows.filter("quantity_sold >= 0").groupBy("client_id", *FEED_KEY)
+    sent = parsed.select("client_id", F.inline("sales"))
+    rows = typed_feed(sent.withColumn("_sent", F.struct(*REQUIRED)))
+    reason = F.when(F.col("client_id").isNull(), F.lit("NO_CLIENT"))
+    for c in REQUIRED:
+        reason = reason.when(F.col(c).isNull(), F.lit(f"INVALID_{c.upper()}"))
+    rows = rows.withColumn("reason", reason.when(F.col("quantity_sold") < 0, F.lit("NEGATIVE_QUANTITY")))
+    tables["refused"] = rows.filter("reason IS NOT NULL").select("client_id", "_sent.*", "reason")
+    tables["sales"] = (rows.filter("reason IS NULL").groupBy("client_id", *FEED_KEY)
                            .agg(F.sum("quantity_sold").alias("quantity_sold")))
     return tables
 
