@@ -29,6 +29,8 @@ def series(keys=SERIES, order: str = "date") -> WindowSpec:
 def guarded(value: ColumnLike, aggregate, frame: WindowSpec, min_rows: int) -> Column:
     """An aggregate over a frame, NULL while fewer than `min_rows` values are in it."""
     column = as_col(value)
+    if aggregate is median:
+        return median(column, frame, min_rows)
     return F.when(F.count(column).over(frame) >= min_rows, aggregate(column).over(frame))
 
 
@@ -57,6 +59,17 @@ def running_count(condition: Column, keys=SERIES) -> Column:
     return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)).over(frame), F.lit(0))
 
 
-def median(column: Column) -> Column:
-    """Exact median; unlike F.median it is allowed over a ROWS frame."""
-    return F.percentile(column, F.lit(0.5))
+def median(value: ColumnLike, frame: WindowSpec, min_rows: int = 1) -> Column:
+    """Exact median over a frame, NULL while fewer than `min_rows` values are in it.
+
+    The frame's values are gathered in one array, which a series keeps short, and sorted; a
+    percentile would build a table of counts for every row.
+    """
+    ordered = F.sort_array(F.collect_list(as_col(value)).over(frame))
+
+    def middle(values: Column) -> Column:
+        n = F.size(values)
+        low, high = F.get(values, ((n - 1) / 2).cast("int")), F.get(values, (n / 2).cast("int"))
+        return F.when(n >= max(min_rows, 1), low + (high - low) * 0.5)
+
+    return F.get(F.transform(F.array(ordered), middle), 0)

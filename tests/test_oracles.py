@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest data set, compared value by value."""
+"""A spread of the registered queries against their SQL on the smallest data set, compared value by value."""
 
 import glob
 import os
@@ -15,7 +15,8 @@ CHOSEN = ["facts_daily", "time_features", "rolling_features", "demand_dynamics",
           "deconstrained_demand", "censoring_analysis", "loss_rollups", "loss_rank", "spike_analysis",
           "cultural_effects", "outlet_profiles", "outlet_performance", "supply_recommendations", "scenario_summary",
           "daily_actions", "autonomous_decisions", "baseline_forecasts", "model_ranking", "hybrid_evaluation",
-          "probabilistic_forecast", "drift_report", "estimate_validation", "client_feed", "text_features"]
+          "probabilistic_forecast", "drift_report", "estimate_validation", "client_feed", "text_features", "client_actions",
+          "horizon_evaluation", "daily_counts_by_risk", "clean_reference", "inventory_recommendations"]
 
 
 @pytest.fixture(scope="module")
