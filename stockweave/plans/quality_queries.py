@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import (baselines, cultural, decisions, ensemble, leakage, metrics, outlets, quality, scenario, series,
-                         spikes, stockout, supply, validators)
+from ..operators import decisions, leakage, quality, series, stockout, validators
 from ..sources import demand_tables as src, readers
-from . import decision_queries, forecast_queries, metric_queries, outlet_queries, supply_queries
-from .demand_queries import cultural_inputs, demand, spike_input
-from .lineage import cut
+from . import decision_queries
 from .registry import cte, query
 
 # --- cleaning --------------------------------------------------------------------------------------
@@ -219,28 +216,7 @@ def _(spark, sf):
     return leakage.temporal_split_audit(facts.filter("date < DATE '2000-01-01'"), facts.filter("date >= DATE '2000-01-01'"))
 
 
-# --- output validators: no rule may be broken --------------------------------------------------------
-
-def _clean(name: str, rules: int, make, unit: str = "rule"):
-    """The number of rules and how many rows break any of them, next to what must come out."""
-    @query(name, "rules:i violations:i", f"SELECT {rules} AS rules, 0 AS violations FROM (SELECT count(*) AS n FROM facts) f WHERE n > 0", "facts")
-    def _(spark, sf):
-        return make(spark, sf).agg(F.count(F.lit(1)).alias("rules"), F.sum("violations").alias("violations"))
-
-
-_clean("profile_rules", 2, lambda s, d: validators.profile_rules(outlet_queries.profiles(s, d)))
-_clean("behavior_rules", 5, lambda s, d: validators.behavior_rules(outlets.outlet_behavior(demand(s, d))))
-_clean("performance_rules", 13, lambda s, d: validators.performance_rules(outlets.outlet_performance(demand(s, d))))
-_clean("spike_rules", 12, lambda s, d: validators.spike_rules(spikes.spike_analysis(spike_input(s, d))))
-_clean("supply_rules", 21, lambda s, d: validators.supply_rules(supply.supply_recommendations(
-    supply_queries.required(s, d), src.supply_inventory(s, d), supply.normalize_contract(src.supplier_contract(s, d)))))
-_clean("cultural_rules", 15, lambda s, d: validators.cultural_rules(cultural.cultural_effects(*cultural_inputs(s, d))))
-_clean("scenario_rules", 6, lambda s, d: validators.scenario_rules(supply_queries.compared(s, d)))
-_clean("action_rules", 8, lambda s, d: validators.action_rules(decision_queries.report(s, d, include_normal=True)))
-_clean("ranking_rules", 12, lambda s, d: validators.ranking_rules(
-    ensemble.rank_models(forecast_queries.scores(s, d), ["outlet_id", "product_id"]), ["outlet_id", "product_id"]))
-_clean("drift_rules", 6, lambda s, d: validators.drift_rules(metric_queries.drifted(s, d)))
-
+# --- output validators on results as they are; validator_queries damages results first -----------------
 
 @query("decision_rules", "rule violations:i", """
 SELECT 'health error' AS rule, count(*) FILTER (NOT model_ok) AS violations FROM decided
@@ -250,34 +226,6 @@ def _(spark, sf):
     return validators.decision_rules(decisions.autonomous_decisions(decision_queries.request_rows(spark, sf)))
 
 
-@query("ensemble_rules", "rule violations:i", """
-SELECT r AS rule, 0 AS violations FROM (VALUES ('empty'), ('wrong length'), ('negative forecast'), ('weights do not sum to 1'),
-  ('negative weight'), ('confidence outside [0, 1]'), ('empty')) v(r), (SELECT count(*) AS n FROM facts) f WHERE n > 0""", "facts")
-def _(spark, sf):
-    keys = ["outlet_id", "product_id"]
-    rows = baselines.backtest_forecasts(src.daily_facts(spark, sf), 7)
-    weights = ensemble.model_weights(metrics.model_scores(rows), keys, horizon=7)
-    return validators.ensemble_rules(ensemble.combine(rows, weights, keys, ["horizon"]), weights, keys, 7)
-
-
-@query("series_benchmark_rules", "rule violations:i", """
-SELECT r AS rule, 0 AS violations FROM (VALUES ('empty'), ('mae negative or missing'), ('rmse negative or missing'), ('smape negative or missing'),
-  ('rank out of sequence'), ('unknown model'), ('duplicate key'), ('empty'), ('unknown best model'), ('best_mae negative or missing')) v(r),
-  (SELECT count(*) AS n FROM facts) f WHERE n > 0""", "facts")
-def _(spark, sf):
-    made = forecast_queries.cut_scores(spark, sf)
-    return validators.series_benchmark_rules(metrics.weighted_by_model(made), metrics.best_models(made), baselines.METHODS)
-
-
-@query("hybrid_rules", "rule violations:i", """
-SELECT r AS rule, 0 AS violations FROM (VALUES ('empty'), ('mae negative or missing'), ('rmse negative or missing'), ('bias missing'),
-  ('duplicate key')) v(r), (SELECT count(*) AS n FROM facts) f WHERE n > 0""", "facts")
-def _(spark, sf):
-    from ..operators import splits
-    return validators.hybrid_rules(ensemble.hybrid_evaluation(
-        splits.last_days_split(cut(forecast_queries.predictions(spark, sf))), forecast_queries.MODELS))
-
-
 @query("layers_agree", "rule violations:i", """
 SELECT 'outlets missing from sales' AS rule, count(*) AS violations FROM outlets WHERE outlet_id NOT IN (SELECT outlet_id FROM facts)
 UNION ALL SELECT 'outlets missing from catalog', count(DISTINCT outlet_id) FROM facts WHERE outlet_id NOT IN (SELECT outlet_id FROM outlets)""",

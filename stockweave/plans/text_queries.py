@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import text_features, validators
+from ..operators import text_features
 from ..sources import demand_tables as src
 from .registry import cte, query
 
@@ -77,8 +77,3 @@ SELECT doc_id, n_chars / 1000.0 AS mm_numeric_demand, h * n AS mm_text_text_toke
 FROM (SELECT *, CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 0 END AS h FROM signals_text) a""", "signals_text")
 def _(spark, sf):
     return fused(spark, sf)
-
-
-@query("fusion_rules", "rules:i violations:i", "SELECT 25 AS rules, 0 AS violations FROM (SELECT count(*) AS n FROM documents) d WHERE n > 0")
-def _(spark, sf):
-    return validators.fusion_rules(fused(spark, sf)).agg(F.count(F.lit(1)).alias("rules"), F.sum("violations").alias("violations"))
