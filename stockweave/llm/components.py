@@ -4,6 +4,10 @@ Union-find inside each partition turns its edges into stars. What remains betwee
 settled by grouping: every node keeps its smallest root, its other roots are linked to that one,
 and roots that have a root themselves are followed. Both steps repeat until nothing changes; the
 number of rounds grows with the logarithm of the longest path.
+
+A component may hold a third of all nodes, which all name the same root. So the roots are made
+distinct (map side first) before their own roots are looked up, and what is found, at most one row
+a root, is copied to SALTS places among which a root's nodes are dealt out.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+SALTS = 32
+
 
 class UnionFind:
     """Disjoint sets of integers; the root of a set is its smallest member."""
@@ -61,8 +67,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         stars = cut(live.mapInPandas(_stars, "node long, root long").filter("node <> root"))
         least = stars.groupBy("node").agg(F.min("root").alias("least"))
-        up = least.select(F.col("node").alias("least"), F.col("least").alias("above"))
-        followed = least.join(up, "least", "left").select(
+        up = least.select("least").distinct().join(least.select(F.col("node").alias("least"), F.col("least").alias("above")), "least")
+        up = up.select("least", "above", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        followed = least.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS).cast("long"))).join(up, ["least", "salt"], "left").select(
             "node", F.coalesce("above", "least").alias("root"), F.col("above").isNotNull().alias("moved"))
         linked = stars.join(least, "node").filter("root <> least").select(
             F.greatest("root", "least").alias("node"), F.least("root", "least").alias("root"), F.lit(True).alias("moved"))
