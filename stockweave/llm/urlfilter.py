@@ -8,10 +8,14 @@ characters followed it (Witten-Bell). A URL without a rule is judged by the diff
 log-likelihoods per character, against a threshold that is calibrated on a fifth of the labelled
 URLs which no model has seen: the one with the best mean of both classes' hit rates.
 
-The counts cover every labelled URL of the table. Tasks count their own rows, equal n-grams are
-added up by a grouping, and n-grams are addressed by hash in tables of a fixed number of slots, so
-a model has a few megabytes whatever the table's size. A few rows with the calibration's
-histogram are all else that reaches the driver.
+All counts are exact and have no limit. A character with its longest context is one n-gram, and the
+shorter contexts of a character are the ends of that n-gram, so one table of the different n-grams of
+all URLs, with their counts among the labelled ones, holds both models. It is stored and grows with the
+input; order by order, each n-gram is joined with the one without its first character, which gives
+every n-gram its chance. A URL's score is the sum over its n-grams, looked up in that table by a join.
+Sums are of whole numbers (nats in steps of 2^-32), so they do not depend on the order of rows. After
+the threshold is found, URLs are scored by models of all labelled URLs, the calibration's included.
+A few rows with the calibration's histogram are all that reaches the driver.
 
 Defined results: a null URL or one without `://` has empty host and path and fits no rule; an
 empty string has no likelihood and is allowed; if one class has no labelled URL, everything
@@ -20,19 +24,19 @@ without a rule is allowed; repeated rows are judged alike; extra columns are ign
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sized
 
 ORDER = 5
-SLOT_BITS = 18
+SLOT_BITS = 18  # of `Markov`, which `judge` does not use
 BINS, REACH = 4000, 10.0  # histogram of scores in nats a character
+STEPS = float(1 << 32)  # of a nat in stored scores
 
 
 @dataclass(frozen=True)
@@ -90,30 +94,8 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
 
 
-def _count(order: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple[str, int, int], int] = {}
-        for batch in batches:
-            for text, verdict in zip(batch["text"], batch["verdict"]):
-                grams = _grams(text, order)
-                for k in range(order + 1):
-                    for pair in zip(_slots(grams[2 * k]).tolist(), _slots(grams[2 * k + 1]).tolist()):
-                        key = (verdict, *pair)
-                        seen[key] = seen.get(key, 0) + 1
-                if len(seen) > 200_000:
-                    yield _frame(seen)
-                    seen = {}
-        yield _frame(seen)
-
-    return run
-
-
-def _frame(seen: dict) -> pd.DataFrame:
-    return pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["verdict", "context", "gram", "n"])
-
-
 class Markov:
-    """Counts of one class, by slot: n-grams, contexts, and different n-grams of a context."""
+    """Counts of one class in hashed slots, for a few texts in memory: n-grams, contexts, and different n-grams of a context."""
 
     def __init__(self, order: int) -> None:
         self.order = order
@@ -128,68 +110,88 @@ class Markov:
         return float(np.log(p).sum())
 
 
-@dataclass(frozen=True)
-class Models:
-    allow: Markov
-    block: Markov
-    threshold: float = 0.0
-
-    def score(self, text: str) -> float:
-        """Log-likelihood difference per character; positive speaks for allow."""
-        if not text:
-            return 0.0
-        grams = _grams(text, self.allow.order)
-        return (self.allow.log_likelihood(grams) - self.block.log_likelihood(grams)) / len(grams[0])
-
-
-def _scored(models: Models) -> Column:
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([models.score(t) for t in batch], dtype="float64")
-
-    return F.pandas_udf(score, "double")("text")
-
-
-def fit(labelled: DataFrame, order: int = ORDER) -> Models | None:
-    """Both models and the threshold from the columns text and verdict; None unless both classes have rows."""
-    rows = labelled.select("text", "verdict").filter("text <> '' and verdict in ('allow', 'block')")
-    apart = F.crc32("text") % 5 == 0
-    counts = cut(rows.filter(~apart).mapInPandas(_count(order), "verdict string, context int, gram int, n long")
-                 .groupBy("verdict", "context", "gram").agg(F.sum("n").alias("n")))
-    models = {v: Markov(order) for v in ("allow", "block")}
-    known = set()
-    for r in counts.groupBy("verdict", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas().itertuples():
-        known.add(r.verdict)
-        models[r.verdict].grams[r.gram] = r.n
-    for r in counts.groupBy("verdict", "context").agg(F.sum("n").alias("n"), F.count("gram").alias("kinds")).toArrow().to_pandas().itertuples():
-        models[r.verdict].contexts[r.context] = r.n
-        models[r.verdict].followers[r.context] = r.kinds
-    if len(known) < 2:
-        return None
-    first = Models(models["allow"], models["block"])
+MODELS = ("first_allow", "first_block", "allow", "block")  # the first two have not seen the calibration's URLs
+
+
+def _ngrams(order: int) -> Column:
+    """Every character of `text` and its end, each with the `order` characters before it."""
+    padded = F.concat(F.lit(chr(2) * order), F.col("text"), F.lit(chr(3)))
+    return F.explode(F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{order + 1}}}))."), F.lit(1))).alias("gram")
+
+
+def _texts(ruled: DataFrame) -> DataFrame:
+    """The different texts (host and path) with verdict of the rules, number of rows, and whether they calibrate."""
+    rows = ruled.select(F.concat("host", "path").alias("text"), F.col("rule_verdict").alias("verdict")).filter("text <> ''")
+    return rows.groupBy("text").agg(F.max("verdict").alias("verdict"), F.count(F.lit(1)).alias("n")).select(
+        "*", _key(F.col("text")).alias("key"), (F.crc32("text") % 5 == 0).alias("apart"))
+
+
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def ngram_scores(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """Each n-gram of the texts with `first` and `score`: log-chance of allow less that of block, in STEPS."""
+    def counted(verdict: str, all_rows: bool) -> Column:
+        fits = F.col("verdict") == verdict
+        return F.sum(F.when(fits if all_rows else fits & ~F.col("apart"), F.col("n")).otherwise(0))
+
+    longest = (texts.select("verdict", "apart", "n", _ngrams(order))
+               .groupBy("gram").agg(*[counted(m.removeprefix("first_"), m in ("allow", "block")).alias(m) for m in MODELS]))
+    ends = F.explode(F.transform(F.sequence(F.lit(1), F.lit(order + 1)), lambda k: F.right("gram", k))).alias("gram")
+    grams = longest.select(ends, *MODELS).groupBy("gram").agg(*[F.sum(m).alias(m) for m in MODELS])
+    context = Window.partitionBy(F.expr("left(gram, length(gram) - 1)"))
+    grams = cut(grams.select("gram", F.length("gram").alias("size"), *MODELS, *[F.sum(m).over(context).alias(f"{m}_seen") for m in MODELS],
+                             *[F.count_if(F.col(m) > 0).over(context).alias(f"{m}_kinds") for m in MODELS]))
+    found = None
+    for size in range(1, order + 2):
+        level = grams.filter(F.col("size") == size)
+        if found is not None:
+            level = level.withColumn("end", F.right("gram", F.lit(size - 1))).join(
+                found.withColumnRenamed("gram", "end"), "end")  # every end is an n-gram of the table itself
+        def chance(m: str) -> Column:
+            below = F.lit(1 / 256) if size == 1 else F.col(f"{m}_p")
+            n, seen, kinds = F.col(m), F.col(f"{m}_seen"), F.col(f"{m}_kinds")
+            return F.when(seen > 0, (n + kinds * below) / (seen + kinds)).otherwise(below)
+
+        found = level.select("gram", *[chance(m).alias(f"{m}_p") for m in MODELS])
+
+    def steps(allow: str, block: str) -> Column:
+        return F.round((F.log(F.col(f"{allow}_p")) - F.log(F.col(f"{block}_p"))) * STEPS).cast("long")
+
+    return cut(found.select("gram", steps("first_allow", "first_block").alias("first"), steps("allow", "block").alias("score")))
+
+
+def _threshold(scored: DataFrame) -> float:
+    """The cut with the best mean of both classes' hit rates, from `first` of the labelled rows; 0 unless both classes have some."""
     step = BINS / (2 * REACH)
-    place = F.least(F.greatest(F.floor((F.col("score") + REACH) * step), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    found = rows.filter(apart).withColumn("score", _scored(first)).groupBy("verdict", place.alias("bin")).count().collect()
-    histogram = {v: np.zeros(BINS) for v in models}
-    for r in found:
-        histogram[r["verdict"]][r["bin"]] = r["count"]
+    place = F.least(F.greatest(F.floor((F.col("first") + REACH) * step), F.lit(0)), F.lit(BINS - 1)).cast("int")
+    histogram = {v: np.zeros(BINS) for v in ("allow", "block")}
+    for r in scored.filter("verdict is not null").groupBy("verdict", place.alias("bin")).agg(F.sum("n").alias("n")).collect():
+        histogram[r["verdict"]][r["bin"]] = r["n"]
     if not all(h.sum() for h in histogram.values()):
-        return first
+        return 0.0
     hits = 1 - np.cumsum(histogram["allow"]) / histogram["allow"].sum() + np.cumsum(histogram["block"]) / histogram["block"].sum()
     best = np.flatnonzero(hits >= hits.max() - 1e-12)
-    return Models(first.allow, first.block, (float(best[len(best) // 2]) + 1) / step - REACH)
+    return (float(best[len(best) // 2]) + 1) / step - REACH
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], order: int = ORDER) -> DataFrame:
     """Columns host, path, rule, verdict and score (null where a rule decides) beside those of pages."""
     ruled = with_rules(pages, rules)
-    text = F.concat("host", "path")
-    models = fit(ruled.select(text.alias("text"), F.col("rule_verdict").alias("verdict")), order)
     kept = [c for c in ruled.columns if c not in ("rule_verdict", "verdict", "score", "text")]
-    if models is None:
+    texts = cut(_texts(ruled))
+    classes = {(r["verdict"], r["apart"]) for r in texts.select("verdict", "apart").distinct().collect()}
+    if not {"allow", "block"} <= {v for v, _ in classes}:
         return ruled.select(*kept, F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    score = _scored(models)
-    rows = ruled.withColumn("text", text).select(*kept, "rule_verdict", "text").withColumn("score", score)
-    fine = (F.col("text") == "") | (F.col("score") >= models.threshold)
-    return rows.select(*kept, F.coalesce("rule_verdict", F.when(fine, "allow").otherwise("block")).alias("verdict"),
-                       F.when(F.col("rule_verdict").isNull(), F.col("score")).alias("score"))
+    mean = [(F.sum(c) / F.count(F.lit(1)) / STEPS).alias(c) for c in ("first", "score")]  # nats a character, the end included
+    scored = cut(texts.filter("verdict is null or apart").select("key", "verdict", "n", _ngrams(order))
+                 .join(sized(ngram_scores(texts, order)), "gram").groupBy("key", "verdict", "n").agg(*mean))
+    trained = {("allow", False), ("block", False)} <= classes
+    threshold = _threshold(scored) if trained else 0.0
+    empty = (F.col("host") == "") & (F.col("path") == "")
+    found = scored.filter("verdict is null").select(F.col("key").alias("_key"), F.col("score").alias("_score"))
+    rows = ruled.select(*kept, "rule_verdict", _key(F.concat("host", "path")).alias("_key")).join(sized(found), "_key", "left")
+    score = F.when(F.col("rule_verdict").isNull(), F.when(empty, 0.0).otherwise(F.col("_score")))
+    fine = empty | (F.col("_score") >= threshold)
+    return rows.select(*kept, F.coalesce("rule_verdict", F.when(fine, "allow").otherwise("block")).alias("verdict"), score.alias("score"))

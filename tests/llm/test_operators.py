@@ -286,6 +286,48 @@ def test_markov_chances_add_up():
     assert model.log_likelihood(urlfilter._grams("abab", 2)) > model.log_likelihood(urlfilter._grams("bzzb", 2))
 
 
+class ExactMarkov:
+    """Witten-Bell chances from dictionaries of strings."""
+
+    def __init__(self, texts, order=urlfilter.ORDER):
+        self.order, self.grams, self.followers = order, Counter(), Counter()
+        for text in texts:
+            self.grams.update(g for gs in self.of(text) for g in gs)
+        self.contexts = Counter()
+        for g, n in self.grams.items():
+            self.contexts[g[:-1]] += n
+            self.followers[g[:-1]] += 1
+
+    def of(self, text):
+        padded = chr(2) * self.order + text + chr(3)
+        return [[padded[i - k: i + 1] for k in range(self.order + 1)] for i in range(self.order, len(padded))]
+
+    def log_likelihood(self, text):
+        out = 0.0
+        for gs in self.of(text):
+            p = 1 / 256
+            for g in gs:
+                seen, kinds = self.contexts[g[:-1]], self.followers[g[:-1]]
+                p = (self.grams[g] + kinds * p) / (seen + kinds) if seen else p
+            out += np.log(p)
+        return out
+
+
+def test_url_scores_are_exact_beyond_any_number_of_ngrams(spark):
+    draw = np.random.default_rng(5)
+    hosts = ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 45)) for _ in range(3000)]
+    rows = [(i, f"http://{h}.{('org', 'biz', 'info')[i % 3]}/{h[:7]}\U0001f600{h[:3]}") for i, h in enumerate(hosts)] + [(9000, "http://twice.org/"), (9001, "http://twice.org/?a")]
+    rules = [urlfilter.Rule("allow", "org/"), urlfilter.Rule("block", "biz/")]
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    assert len(got) == len(rows)
+    allow, block = (ExactMarkov([r.host + r.path for r in got if r.rule == rule]) for rule in ("org/", "biz/"))
+    assert len(allow.grams) + len(block.grams) > 1 << urlfilter.SLOT_BITS
+    for r in got:
+        if r.rule is None:
+            text = r.host + r.path
+            assert r.score == pytest.approx((allow.log_likelihood(text) - block.log_likelihood(text)) / (len(text) + 1), abs=1e-8)
+
+
 # --- 6: near-duplicates ------------------------------------------------------------------------------------
 
 
