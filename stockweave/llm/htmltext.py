@@ -5,9 +5,14 @@ that are never article text (scripts, navigation, forms and so on, by tag or by
 id or role) are left out first. For every path the lengths and the punctuation marks of its leaves
 are added up: the ratio of a path is its characters per leaf, the extended ratio weights them with
 its punctuation per leaf. Both are smoothed over neighbouring leaves in page order, fused by
-multiplication, and paths whose mean fused value passes a share of the page's mean are content.
-The content region is the article, main part or lowest container that holds nearly all characters
-of these paths; its leaves, headings and short paragraphs included, make the text in blocks.
+multiplication, and paths whose mean fused value passes a share of the page's mean are content if
+their own value, without the neighbours, passes that share of it again. So are paths with a mark or
+more per leaf whose own ratio passes the share of the page's mean ratio: few marks in a single leaf,
+as in a lead, do not weigh against those of many leaves.
+The content region is the article, main part or lowest container that holds all characters of these
+paths. An article or main part in it with content is taken whole. Elsewhere leaves of content paths
+make the text, and beside them every branch without content whose parent holds content directly, or
+which has a heading, a punctuation mark or content before and after it and is not mostly links.
 
 Pages are independent, so the work is one pass without a shuffle, with memory for one page.
 
@@ -52,6 +57,7 @@ _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria
 _WORD = re.compile(r"[a-z]+")
 _MARKS = re.compile(r"[.,;:!?¡¿…、。]")
 _SPACE = re.compile(r"\s+")
+_HEADING = re.compile(r"/h[1-6]\b")
 
 
 @dataclass
@@ -60,6 +66,7 @@ class _Node:
     parent: int
     path: str
     wanted: bool
+    link: bool = False
 
 
 @dataclass
@@ -127,7 +134,7 @@ def read(page: str) -> _Page:
             continue
         above = open_nodes[-1]
         parent = out.nodes[above]
-        out.nodes.append(_Node(tag, above, f"{parent.path}/{tag}" if tag not in INLINE else parent.path, parent.wanted and _wanted(tag, m[3])))
+        out.nodes.append(_Node(tag, above, f"{parent.path}/{tag}" if tag not in INLINE else parent.path, parent.wanted and _wanted(tag, m[3]), parent.link or tag == "a"))
         open_nodes.append(len(out.nodes) - 1)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
@@ -142,10 +149,10 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid") if len(x) > 1 else x
 
 
-def main_text(page: str | None, share: float = 0.25, cover: float = 0.9) -> str:
+def main_text(page: str | None, share: float = 0.25) -> str:
     """The article of a page: blocks joined by an empty line.
 
-    `share` of the page's mean fused ratio makes a path content; the region holds `cover` of the content's characters.
+    `share` of the page's mean fused ratio makes a path content; the region holds all of them.
     """
     if not page:
         return ""
@@ -157,8 +164,10 @@ def main_text(page: str | None, share: float = 0.25, cover: float = 0.9) -> str:
             leaves.append((node, block, entities.unescape(raw)))
     blocks: dict[int, list[str]] = defaultdict(list)
     first: dict[int, int] = {}
+    linked: dict[int, int] = defaultdict(int)
     for node, block, piece in leaves:
         blocks[block].append(piece)
+        linked[block] += len(piece.strip()) * nodes[node].link
         if block not in first or len(nodes[node].path) < len(nodes[first[block]].path):
             first[block] = node
     found = [(b, first[b], t) for b, parts in blocks.items() if (t := _SPACE.sub(" ", "".join(parts)).strip())]
@@ -171,21 +180,23 @@ def main_text(page: str | None, share: float = 0.25, cover: float = 0.9) -> str:
     for p, c, k in zip(path, chars, marks):
         for i, v in enumerate((1.0, c, k)):
             total[p][i] += v
-    ratio = _smooth(np.array([total[p][1] / total[p][0] for p in path]))
-    extended = _smooth(np.array([total[p][1] / total[p][0] * (1 + total[p][2]) / (1 + total[p][0]) for p in path]))
-    fused = np.sqrt(ratio * extended)
+    ratio = np.array([total[p][1] / total[p][0] for p in path])
+    extended = np.array([total[p][1] / total[p][0] * (1 + total[p][2]) / (1 + total[p][0]) for p in path])
+    own = dict(zip(path, np.sqrt(ratio * extended)))
+    fused = np.sqrt(_smooth(ratio) * _smooth(extended))
     by_path: dict[str, list[float]] = defaultdict(list)
     for p, v in zip(path, fused):
         by_path[p].append(v)
-    limit = share * float(np.average(fused, weights=chars))
-    content = {p for p, v in by_path.items() if sum(v) / len(v) >= limit}
+    limit, plain = (share * float(np.average(x, weights=chars)) for x in (fused, ratio))
+    content = {p for p, v in by_path.items() if sum(v) / len(v) >= limit and own[p] >= share * limit
+               or total[p][1] >= plain * total[p][0] and total[p][2] >= total[p][0]} or set(path)
     held: dict[int, float] = defaultdict(float)  # characters of content below each element
     for (_, node, _), p, c in zip(found, path, chars):
         if p in content:
             while node >= 0:
                 held[node] += c
                 node = nodes[node].parent
-    region = max((n for n, c in held.items() if c >= cover * held[0]), default=0)  # the last opened one is the lowest
+    region = max(n for n, c in held.items() if c >= held[0])  # the last opened one is the lowest
     above, k = [], region
     while k > 0:
         above.append(k)
@@ -193,12 +204,28 @@ def main_text(page: str | None, share: float = 0.25, cover: float = 0.9) -> str:
     # A single block is no region: the article around it is, or else the next element that holds blocks.
     region = next((k for tags in (REGIONS[:1], REGIONS[:2], REGIONS) for k in above if nodes[k].tag in tags), 0)
 
-    def inside(node: int) -> bool:
-        while node > region:
-            node = nodes[node].parent
-        return node == region
-
-    return "\n\n".join(t for _, node, t in found if inside(node))
+    # Every leaf inside the region has a branch: the highest element above it without content, itself if there is none.
+    branches: dict[tuple[int, int], list[int]] = defaultdict(list)
+    chosen, homes = set(), set()
+    for i, (_, node, _) in enumerate(found):
+        up = [node]
+        while up[-1] > region:
+            up.append(nodes[up[-1]].parent)
+        if up[-1] != region:
+            continue
+        if path[i] in content:
+            homes.add(next((k for k in up if nodes[k].tag in REGIONS), region))
+        if path[i] in content or any(nodes[k].tag in KEPT_WHOLE - {"html", "body"} and held.get(k) for k in up):
+            chosen.add(i)
+            continue
+        top = next(j for j, k in enumerate(up) if held.get(k))
+        branches[up[top], up[top - 1] if top else -1 - i].append(i)
+    inner = [i for i in range(len(found)) if path[i] in content]
+    for (parent, _), beside in branches.items():
+        text_like = (any(_HEADING.search(path[i]) for i in beside) or sum(marks[i] for i in beside) > 0 or inner[0] < beside[0] < inner[-1])
+        if parent in homes or text_like and 2 * sum(linked[found[i][0]] for i in beside) <= sum(chars[i] for i in beside):
+            chosen.update(beside)
+    return "\n\n".join(found[i][2] for i in sorted(chosen))
 
 
 def _extracted(pages: pd.Series) -> pd.Series:

@@ -199,6 +199,23 @@ def test_main_text_of_odd_pages(page, text):
     assert htmltext.main_text(page) == text
 
 
+LEAD, BODY, END = "A lead of one long sentence, by our own reporter, who was there when it all began and saw it to its end.", "A long sentence of the body, with commas, words and more of it, as articles have. " * 4, "The last section ends here, with few words, none of which can be left out without loss of some meaning."
+
+
+@pytest.mark.parametrize("page, text", [
+    # lead and body are siblings, no article around them; the menu of links goes
+    (f"<body><div><div><a href=x>Home</a> <a href=y>About us</a></div><div><p>{LEAD}</p></div><div>{f'<p>{BODY}</p>' * 12}</div></div></body>", [LEAD, *[BODY] * 12]),
+    (f"<body><div><div class=top>{LEAD}</div><div>{f'<p>{BODY}</p>' * 12}</div><section><h2>End</h2><p>{END}</p></section></div><div>Imprint</div></body>",
+     [LEAD, *[BODY] * 12, "End", END]),
+    # a second, shorter article beside the first
+    (f"<body><ul><li><a href=x>Home</a></ul><article>{f'<p>{BODY}</p>' * 12}</article><article><h2>End</h2><p>{END}</p></article></body>", [*[BODY] * 12, "End", END]),
+    # paths choose: what is short, without marks and outside the text is left out though the region holds it
+    (f"<body><div><div>Home About</div><div><h1>Title</h1></div><div><p>{BODY}</p></div><div>Figure</div><div><p>{BODY}</p></div><div>To the top</div></div></body>",
+     ["Title", BODY, "Figure", BODY])])
+def test_main_text_holds_all_content(page, text):
+    assert htmltext.main_text(page) == "\n\n".join(t.strip() for t in text)
+
+
 def test_extract_keeps_other_columns(spark):
     pages = spark.createDataFrame([(1, None, None, "clash"), (None, "u", "<p>x</p>" * 20_000, "clash")], "page_id long, url string, html string, text string")
     got = htmltext.extract(pages)
