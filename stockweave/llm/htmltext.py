@@ -1,8 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into text leaves, each under its path of tags from the root. Leaves inside elements
-that are never article text (scripts, navigation, forms and so on, by tag or by a word of class,
-id or role) are left out first. For every path the lengths and the punctuation marks of its leaves
+that are never article text by their tag (scripts, navigation, forms and so on) are left out first.
+Elements with a class, id or role that is, or begins with, a word of a list are left out as well,
+unless they hold more than half the characters of the page's content paths (for a whole name that is
+not enough if an article or main part with text stands elsewhere); if that leaves nothing, the list is
+not used. For every path the lengths and the punctuation marks of its leaves
 are added up: the ratio of a path is its characters per leaf, the extended ratio weights them with
 its punctuation per leaf. Both are smoothed over neighbouring leaves in page order, fused by
 multiplication, and paths whose mean fused value passes a share of the page's mean are content if
@@ -67,6 +70,7 @@ class _Node:
     path: str
     wanted: bool
     link: bool = False
+    named: int = 0  # by a word of UNWANTED, evidence only: 1 a name begins with one, 2 a name is one
 
 
 @dataclass
@@ -82,8 +86,14 @@ def _wanted(tag: str, attributes: str) -> bool:
         return True
     if _HIDDEN.search(attributes):
         return False
-    return not any(w in UNWANTED for m in _NAMES.finditer(attributes)
-                   for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower()))
+    return True
+
+
+def _named(tag: str, attributes: str) -> int:
+    if not attributes or tag in KEPT_WHOLE:
+        return 0
+    names = [name for m in _NAMES.finditer(attributes) for name in (m[2] or m[3] or m[4] or "").lower().split()]
+    return max((1 + (w[0] == name) for name in names if (w := _WORD.match(name)) and w[0] in UNWANTED), default=0)
 
 
 def read(page: str) -> _Page:
@@ -134,7 +144,7 @@ def read(page: str) -> _Page:
             continue
         above = open_nodes[-1]
         parent = out.nodes[above]
-        out.nodes.append(_Node(tag, above, f"{parent.path}/{tag}" if tag not in INLINE else parent.path, parent.wanted and _wanted(tag, m[3]), parent.link or tag == "a"))
+        out.nodes.append(_Node(tag, above, f"{parent.path}/{tag}" if tag not in INLINE else parent.path, parent.wanted and _wanted(tag, m[3]), parent.link or tag == "a", _named(tag, m[3])))
         open_nodes.append(len(out.nodes) - 1)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
@@ -149,19 +159,21 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid") if len(x) > 1 else x
 
 
-def main_text(page: str | None, share: float = 0.25) -> str:
-    """The article of a page: blocks joined by an empty line.
+@dataclass
+class _Found:
+    """Blocks of text in page order, with what main_text chooses by."""
 
-    `share` of the page's mean fused ratio makes a path content; the region holds all of them.
-    """
-    if not page:
-        return ""
-    tree = read(page)
-    nodes = tree.nodes
-    leaves = []
-    for node, block, raw in tree.leaves:
-        if nodes[node].wanted:
-            leaves.append((node, block, entities.unescape(raw)))
+    blocks: list[tuple[int, int, str]]  # block, node, text
+    path: list[str]
+    chars: np.ndarray
+    marks: np.ndarray
+    linked: dict[int, int]  # characters in links, by block
+    content: set[str]  # paths
+    held: dict[int, float]  # characters of content below each element
+
+
+def _content(nodes: list[_Node], leaves: list[tuple[int, int, str]], share: float) -> _Found | None:
+    """The content paths of these leaves; None without text."""
     blocks: dict[int, list[str]] = defaultdict(list)
     first: dict[int, int] = {}
     linked: dict[int, int] = defaultdict(int)
@@ -172,7 +184,7 @@ def main_text(page: str | None, share: float = 0.25) -> str:
             first[block] = node
     found = [(b, first[b], t) for b, parts in blocks.items() if (t := _SPACE.sub(" ", "".join(parts)).strip())]
     if not found:
-        return ""
+        return None
     path = [nodes[node].path for _, node, _ in found]
     chars = np.array([len(t) for *_, t in found], float)
     marks = np.array([len(_MARKS.findall(t)) for *_, t in found], float)
@@ -196,6 +208,44 @@ def main_text(page: str | None, share: float = 0.25) -> str:
             while node >= 0:
                 held[node] += c
                 node = nodes[node].parent
+    return _Found(found, path, chars, marks, linked, content, held)
+
+
+def _unnamed(nodes: list[_Node], leaves: list[tuple[int, int, str]], it: _Found) -> list[tuple[int, int, str]]:
+    """The leaves outside the named elements that are not taken for the text itself."""
+    filled = set()  # elements with text
+    for _, k, _ in it.blocks:
+        while k >= 0 and k not in filled:
+            filled.add(k)
+            k = nodes[k].parent
+    inside, articles = [False] * len(nodes), [0] * len(nodes)  # a named element; number of articles around, itself included
+    for k, node in enumerate(nodes[1:], 1):
+        inside[k] = inside[node.parent] or node.named > 0
+        articles[k] = articles[node.parent] + (not inside[k] and k in filled and node.tag in ("article", "main"))
+    declared = sum(articles[k] > articles[node.parent] for k, node in enumerate(nodes[1:], 1))
+    out = [False] * len(nodes)
+    for k, node in enumerate(nodes[1:], 1):
+        most = 2 * it.held.get(k, 0.0) > it.held[0]
+        out[k] = out[node.parent] or node.named > 0 and not (most and (node.named == 1 or declared == articles[k]))
+    return [leaf for leaf in leaves if not out[leaf[0]]]
+
+
+def main_text(page: str | None, share: float = 0.25) -> str:
+    """The article of a page: blocks joined by an empty line.
+
+    `share` of the page's mean fused ratio makes a path content; the region holds all of them.
+    """
+    if not page:
+        return ""
+    tree = read(page)
+    nodes = tree.nodes
+    leaves = [(node, block, entities.unescape(raw)) for node, block, raw in tree.leaves if nodes[node].wanted]
+    all_found = _content(nodes, leaves, share)
+    if all_found is None:
+        return ""
+    left = _unnamed(nodes, leaves, all_found)
+    it = all_found if len(left) == len(leaves) else _content(nodes, left, share) or all_found
+    found, path, chars, marks, linked, content, held = it.blocks, it.path, it.chars, it.marks, it.linked, it.content, it.held
     region = max(n for n, c in held.items() if c >= held[0])  # the last opened one is the lowest
     above, k = [], region
     while k > 0:

@@ -216,6 +216,16 @@ def test_main_text_holds_all_content(page, text):
     assert htmltext.main_text(page) == "\n\n".join(t.strip() for t in text)
 
 
+@pytest.mark.parametrize("name", ["class='layout has-sidebar'", "class=no-sidebar", "class='content-with-comments'", "class=post-share", "class='no-ads'",
+                                  "class='header-large'", "id=page-banner", "class=sidebar"])
+def test_names_do_not_empty_a_page(name):
+    other = "<div class='sidebar-left'><p>Read also this, and that, and many more things, every day.</p></div>"
+    page = f"<body><div {name}><h1>Title</h1><p>{BODY}</p><p>{BODY}</p></div>{other}</body>"
+    assert htmltext.main_text(page) == "\n\n".join(["Title", BODY.strip(), BODY.strip()])
+    parts = "".join(f"<div class=social><p>{BODY}</p></div>" for _ in range(3))
+    assert htmltext.main_text(f"<body>{parts}</body>") == "\n\n".join([BODY.strip()] * 3)  # the list would leave nothing
+
+
 def test_extract_keeps_other_columns(spark):
     pages = spark.createDataFrame([(1, None, None, "clash"), (None, "u", "<p>x</p>" * 20_000, "clash")], "page_id long, url string, html string, text string")
     got = htmltext.extract(pages)
