@@ -21,6 +21,7 @@ CONTEXT_DRIVERS = {
 }
 PRIORITIES = ("CRITICAL", "HIGH", "MODERATE", "LOW", "NORMAL")
 MIN_HISTORY = 28
+HISTORY_REQUIRED = "HISTORY_REQUIRED"
 LEAD_TIME_DAYS = 3
 
 
@@ -101,11 +102,13 @@ def _first_days(n: int) -> Column:
 
 
 def series_actions(outlook: DataFrame, lead_time: int = LEAD_TIME_DAYS, min_history: int = MIN_HISTORY) -> DataFrame:
-    """Risk, shortage, order, priority and drivers of every series with enough history.
+    """Risk, shortage, order, priority and drivers of every series.
 
-    `order_multiple` is 1, so orders are whole units.
+    `order_multiple` is 1, so orders are whole units. A series with fewer rows than `min_history`
+    keeps its row: the action is HISTORY_REQUIRED with priority LOW, its risks are UNKNOWN and its
+    order is NULL. `with_history` leaves these rows out.
     """
-    df = outlook.filter(F.col("history_rows") >= min_history).withColumns({
+    df = outlook.withColumns({
         "d1": F.get("forecast", F.lit(0)), "d3": _first_days(3), "d7": _first_days(7),
         "lead_time_days": F.lit(lead_time),
         "lead_time_demand": _first_days(lead_time),
@@ -147,7 +150,17 @@ def series_actions(outlook: DataFrame, lead_time: int = LEAD_TIME_DAYS, min_hist
     })
     fixed = F.array(F.lit("Recent historical demand pattern"), F.lit("Day-of-week demand behavior"),
                     F.when(change > 5, "Positive recent demand trend").when(change < -5, "Negative recent demand trend"))
-    return df.withColumn("key_drivers", F.array_distinct(F.concat(F.array_compact(fixed), "context_drivers")))
+    df = df.withColumn("key_drivers", F.array_distinct(F.concat(F.array_compact(fixed), "context_drivers")))
+    short = F.col("history_rows") < min_history
+    instead = {c: "UNKNOWN" for c in ("demand_spike", "demand_risk", "stockout_risk", "supplier_risk")} | {
+        "recommended_order": None, "action": HISTORY_REQUIRED, "priority": "LOW",
+        "reason": f"The series has fewer than {min_history} days of history."}
+    return df.withColumns({c: F.when(short, F.lit(v)).otherwise(F.col(c)) for c, v in instead.items()})
+
+
+def with_history(actions: DataFrame) -> DataFrame:
+    """The actions, flat or nested, of series with enough history."""
+    return actions.filter(F.col("recommendation.action" if "recommendation" in actions.columns else "action") != HISTORY_REQUIRED)
 
 
 # --- identities and the nested report -------------------------------------------------------------
@@ -312,4 +325,5 @@ def report_summary(actions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("actions_required"),
         count_where(act == "REPLENISH").alias("replenish_actions"),
         count_where(act == "REVIEW_REQUIRED").alias("review_actions"),
-        count_where(act == "HOLD").alias("hold_actions"))
+        count_where(act == "HOLD").alias("hold_actions"),
+        count_where(act == HISTORY_REQUIRED).alias("history_actions"))

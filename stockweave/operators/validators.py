@@ -179,10 +179,12 @@ def action_rules(actions: DataFrame) -> DataFrame:
         "negative forecast": (d1 < 0) | (d3 < 0) | (d7 < 0),
         "horizons not ordered": ~((d1 <= d3) & (d3 <= d7)),
         "negative shortage": F.col("inventory.shortage") < 0,
-        "negative order": F.col("supply.recommended_order") < 0,
+        # Without enough history there is no order.
+        "negative order": F.when(F.col("recommendation.action") == "HISTORY_REQUIRED", F.col("supply.recommended_order").isNotNull())
+                           .otherwise(F.col("supply.recommended_order") < 0),
         "confidence outside [0, 1]": ~F.col("model_confidence").between(0, 1),
         "inventory missing": F.col("inventory.current_inventory").isNull() | F.col("inventory.required_inventory").isNull(),
-        "unknown action": ~F.col("recommendation.action").isin("HOLD", "REPLENISH", "REVIEW_REQUIRED"),
+        "unknown action": ~F.col("recommendation.action").isin("HOLD", "REPLENISH", "REVIEW_REQUIRED", "HISTORY_REQUIRED"),
     }
     return count_rules(actions, rules, ["outlet", "product", "forecast", "inventory", "supply"])
 

@@ -110,3 +110,22 @@ def test_client_actions_without_inventory_ask_for_it(spark, facts):
     out = client.client_actions(wide, facts, none, src.outlets(spark, SF), src.products(spark, SF), include_normal=True)
     assert {r["action"] for r in out.select("action").distinct().collect()} == {"INVENTORY_DATA_REQUIRED"}
     assert client.top_actions(out, 5).count() == 5
+
+
+def test_short_series_have_a_daily_action(spark, facts):
+    first = facts.agg(F.min("outlet_id"), F.min("product_id")).first()
+    last = daily.latest_day(facts)
+    one = (F.col("outlet_id") == first[0]) & (F.col("product_id") == first[1])
+    assert facts.filter(one).count() > 28
+    short = facts.filter(~one | (F.col("date") > F.lit(last - dt.timedelta(days=200))))
+    left = short.filter(one).count()
+    assert 0 < left < 28
+    actions = daily.daily_report(short, src.outlets(spark, SF), src.products(spark, SF), include_normal=True)
+    rows = daily.compact_actions(actions).collect()
+    assert len(rows) == facts.select("outlet_id", "product_id").distinct().count()
+    (row,) = [r for r in rows if r.action == "HISTORY_REQUIRED"]
+    assert (row.outlet_id, row.product_id) == tuple(first) and row.priority == "LOW" and row.recommended_order is None and row.stockout_risk == "UNKNOWN"
+    assert daily.report_summary(actions).first()["history_actions"] == 1
+    assert daily.with_history(actions).count() == len(rows) - 1
+    assert daily.counts_by(actions, "priority").agg(F.sum("actions")).first()[0] == len(rows)
+    assert validators.passed(validators.action_rules(actions))
