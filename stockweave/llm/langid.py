@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -99,13 +99,19 @@ class Model:
 
 
 def _sampled(labelled: DataFrame, sample: int) -> DataFrame:
-    """About `sample` rows of each language, at most 1.5 times as many: those with the smallest hashes of their text."""
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """About `sample` different texts of each language, at most 1.5 times as many: those with the smallest salted hashes."""
+    hashed = labelled.select("lang", "text", F.xxhash64("text").alias("h"))
+    distinct = cut(hashed.select("lang", "h").distinct())
+    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return labelled.limit(0)
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, sample / n))])
-    draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.filter(draw < F.element_at(share, F.col("lang"))).groupBy("lang", F.xxhash64("text").alias("h")).agg(
+    salted = F.xxhash64("h", F.lit(17))
+    draw = F.pmod(salted, F.lit(1 << 30)) / float(1 << 30)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "h"))  # over about `sample` rows a language
+    chosen = (distinct.withColumn("draw", draw).filter(F.col("draw") < F.element_at(share, F.col("lang")))
+              .withColumn("place", place).filter(F.col("place") <= sample + sample // 2).select("lang", "h"))
+    return hashed.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(
         F.first("text").alias("text")).select("lang", "text")
 
 

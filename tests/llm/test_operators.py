@@ -453,6 +453,14 @@ def test_language_of_held_out_documents(spark):
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_sample_is_drawn_among_different_texts(spark):
+    rows = [("de", "gleich")] * 20_000 + [("de", f"Text {i}") for i in range(300)] + [("en", f"text {i}") for i in range(5000)]
+    got = Counter(r.lang for r in langid._sampled(spark.createDataFrame(rows, "lang string, text string"), 400).collect())
+    assert got["de"] == 301 and 300 < got["en"] <= 600
+    few = Counter(r.lang for r in langid._sampled(spark.createDataFrame(rows, "lang string, text string"), 1).collect())
+    assert all(n <= 1 for n in few.values())  # 1.5 times 1, in whole texts
+
+
 def test_language_of_odd_rows(odd):
     got = [(r.doc_id, r.lang_pred, r.score) for r in langid.with_language(odd).collect()]
     assert {i for i, lang, s in got if lang == "und" and s == 0} == {4, 5, 6, 11, None} and len(got) == len(odd_rows())
