@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, langid, minhash, packing, secretscan, sharding, urlfilter, vectors, warc
+from . import decontaminate, htmltext, langid, minhash, packing, ppm, secretscan, sharding, urlfilter, vectors, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op10_warc_derivatives(spark, sf_dir):
     rows = warc.derive(warc.responses_of(table(spark, sf_dir, "pages")), key="page_id")
     return rows.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "block_digest",
                        F.length("block").cast("long").alias("content_length"), F.crc32(warc.serialised()).alias("record_crc32"))
+
+
+@query
+def op11_partial_matching(spark, sf_dir):
+    return ppm.score(table(spark, sf_dir, "documents"))
