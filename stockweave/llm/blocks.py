@@ -82,3 +82,40 @@ def as_batches(rows: Iterator[tuple], schema: pa.Schema, at_most: int = 8 << 20)
 
 def numbers(buffer: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(buffer, kind)
+
+
+class Lookup:
+    """Values of many keys at once: an open-addressed table over distinct keys, probed by whole arrays.
+
+    Every key asked for must be among the keys given.
+    """
+
+    def __init__(self, keys: np.ndarray, vals: np.ndarray) -> None:
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        keys = np.ascontiguousarray(keys, np.uint64)
+        self.at = np.full(1 << bits, -1, np.int32)  # of a slot: place of its key, or -1
+        self.keys, self.vals = keys, vals
+        left, slots = np.arange(len(keys), dtype=np.int32), self._slots(keys)
+        while len(left):
+            free = self.at[slots] < 0
+            self.at[slots[free]] = left[free]  # one of several for the same slot stays
+            stay = self.at[slots] != left
+            left, slots = left[stay], (slots[stay] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return self.vals[:0]
+        slots = self._slots(keys)
+        found = self.at[slots]
+        left = np.flatnonzero(self.keys[found] != keys)
+        slots = slots[left]
+        while len(left):
+            slots = (slots + 1) & self.mask
+            found[left] = at = self.at[slots]
+            miss = self.keys[at] != keys[left]
+            left, slots = left[miss], slots[miss]
+        return self.vals[found]

@@ -37,7 +37,7 @@ from .common import cut, ship
 from .shingles import _BYTES, _INVERSE, _WHITE, _power, mix
 
 ORDER = 5  # bytes of context
-TEXT_BYTES = 4 << 20  # of texts joined in one row
+TEXT_BYTES = 1 << 20  # of texts joined in one row
 WORDS, GRAMS = 0, 1
 END = b"\xff"
 
@@ -237,19 +237,17 @@ def _scored(order: int, distinct_words: int, tokens: int, enders: int, schema: p
             mine = answers.filter(pa.compute.equal(answers.column("kind"), kind))
             keys = np.concatenate([np.empty(0, "<u8"), *(blocks.numbers(b, "<u8") for b in mine.column("keys").to_pylist())])
             vals = np.concatenate([np.empty(0, form), *(blocks.numbers(b, form) for b in mine.column("vals").to_pylist())])
-            at = np.argsort(keys, kind="stable")
-            tables[kind] = keys[at], vals[at]
+            keys, first = np.unique(keys, return_index=True)
+            tables[kind] = blocks.Lookup(keys, vals[first])
         made = []
         for keys, held, packed in zip(*(texts.column(c).to_pylist() for c in ("keys", "held", "texts"))):
             joined = Texts(packed, len(keys), order)
             n = joined.n
-            known, counts = tables[WORDS]
             words, of = joined.words()
-            c = counts[np.searchsorted(known, words)]
+            c = tables[WORDS](words)
             base = np.bincount(of, np.log10((c + 0.1) / floor), n) + np.log10((enders + 0.1) / floor)
             grams, place = joined.grams()
-            known, logs = tables[GRAMS]
-            score = np.bincount(place, logs[np.searchsorted(known, grams)], n)
+            score = np.bincount(place, tables[GRAMS](grams), n)
             made.append(pa.table([pa.array(keys, schema.field(0).type), pa.array(held, pa.bool_()), np.bincount(of, minlength=n) + 1,
                                   np.bincount(of[c > 0], minlength=n) + (enders > 0), np.full(n, tokens, np.int64), base, score,
                                   joined.stops - joined.starts + 1], schema=schema))
