@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, langid, minhash, packing, ppm, secretscan, sharding, urlfilter, vectors, warc
+from . import decontaminate, htmltext, langid, minhash, nra, packing, ppm, secretscan, sharding, urlfilter, vectors, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,26 @@ def op10_warc_derivatives(spark, sf_dir):
 @query
 def op11_partial_matching(spark, sf_dir):
     return ppm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_no_random_access(spark, sf_dir):
+    return nra.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# the same ranking by scoring every document that shares a term
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ORACLES["op13_no_random_access"] = f"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM len),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, sum(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+                              * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // length)))))::BIGINT AS score
+  FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN len USING (doc_id) CROSS JOIN whole GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50"""
