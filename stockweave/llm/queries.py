@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, langid, minhash, nra, packing, ppm, secretscan, sharding, urlfilter, vectors, warc
+from . import alignment, decontaminate, htmltext, langid, minhash, nra, packing, ppm, secretscan, sharding, urlfilter, vectors, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,11 @@ def op11_partial_matching(spark, sf_dir):
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_shared_cuts(spark, sf_dir):
+    return alignment.compare(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_no_random_access(spark, sf_dir):
     return nra.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
