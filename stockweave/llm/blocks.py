@@ -53,14 +53,18 @@ def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k[first], np.add.reduceat(c[order], first)
 
 
-def dealt(kind: int, block: int, keys: np.ndarray, counts: np.ndarray, places: np.ndarray) -> Iterator[tuple]:
-    """One row per place that has keys of this block."""
+def raw(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").tobytes()
+
+
+def dealt(kind: int, block: int, keys: np.ndarray, counts: np.ndarray, places: np.ndarray, written=raw) -> Iterator[tuple]:
+    """One row per place that has keys of this block; `written` makes bytes of sorted keys."""
     order = np.argsort(places, kind="stable")
     places = places[order]
     starts = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1]))) if len(places) else []
     for a, b in zip(starts, [*starts[1:], len(places)]):
         at = order[a:b]
-        yield kind, int(places[a]), block, keys[at].astype("<u8").tobytes(), counts[at].astype("<i8").tobytes()
+        yield kind, int(places[a]), block, written(keys[at]), counts[at].astype("<i8").tobytes()
 
 
 def place_of(keys: np.ndarray, places: int) -> np.ndarray:
@@ -80,6 +84,41 @@ def as_batches(rows: Iterator[tuple], schema: pa.Schema, at_most: int = 8 << 20)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
+def steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, the lowest bytes of all first: mostly zeros where keys are close, which compresses."""
+    if not len(keys):
+        return b""
+    return np.diff(keys.astype("<u8"), prepend=np.zeros(1, "<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unstepped(buffer: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(buffer, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+
+
+class Sums:
+    """Distinct keys and the sums of their counts, merged whenever enough has come in."""
+
+    def __init__(self, at_most: int = 2_000_000) -> None:
+        self.keys, self.counts, self.new, self.at_most = [], [], 0, at_most
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.new += len(keys)
+        if self.new > self.at_most:
+            self._merge()
+
+    def _merge(self) -> None:
+        keys, counts = added(self.keys, self.counts)
+        self.keys, self.counts, self.new = [keys], [counts], 0
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        self._merge()
+        (keys,), (counts,) = self.keys, self.counts
+        self.keys, self.counts = [], []
+        return keys, counts
+
+
 def numbers(buffer: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(buffer, kind)
 

@@ -17,7 +17,7 @@ Defined results: a null or empty text has one token, the end, and one coded byte
 training text, all counts are 0: `base_score` is 0 (one unseen token has all mass) and every byte has
 probability 1/256. Repeated rows are scored each, and each counts in training. A null key is crc32
 of nothing: null, so that row is not held out and trains. Extra columns are left out of the result.
-Empty table: no rows. Words are compared by 64-bit numbers.
+Empty table: no rows. Words are compared by 64-bit numbers; logarithms travel with 24 bits and are added with 53.
 """
 
 from __future__ import annotations
@@ -133,14 +133,13 @@ def _pieces(order: int, places: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            now, found = None, {WORDS: ([], []), GRAMS: ([], [])}
+            now, found = None, {WORDS: blocks.Sums(), GRAMS: blocks.Sums()}
 
             def flush() -> Iterator[tuple]:
-                for kind, (keys, counts) in found.items():
-                    k, c = blocks.added(keys, counts)
-                    yield from blocks.dealt(kind, now, k, c, blocks.place_of(k, places))
-                    keys.clear()
-                    counts.clear()
+                for kind, sums in found.items():
+                    k, c = sums.take()
+                    at = k if kind == WORDS else k >> np.uint64(8 * min(2, order))  # grams of a place come in runs of close numbers
+                    yield from blocks.dealt(kind, now, k, c, blocks.place_of(at, places), blocks.steps)
 
             for batch in batches:
                 for i in range(batch.num_rows):
@@ -150,9 +149,7 @@ def _pieces(order: int, places: int):
                     now = block
                     texts = Texts(batch.column("texts")[i].as_py(), len(held), order)
                     for kind, (keys, of) in ((WORDS, texts.words()), (GRAMS, texts.grams())):
-                        k, c = blocks.added(*_counted(keys, of, held))
-                        found[kind][0].append(k)
-                        found[kind][1].append(c)
+                        found[kind].add(*blocks.added(*_counted(keys, of, held)))
             if now is not None:
                 yield from flush()
 
@@ -166,7 +163,7 @@ ANSWERS = "kind int, block long, keys binary, vals binary, distinct_words long,
 
 def _word_answers(group: pa.Table) -> pa.Table:
     """Corpus counts for each block's words; a last row has the place's different words and tokens in training."""
-    keys = [blocks.numbers(b, "<u8") for b in group.column("keys").to_pylist()]
+    keys = [blocks.unstepped(b) for b in group.column("keys").to_pylist()]
     all_keys, totals = blocks.added(keys, [blocks.numbers(b, "<i8") for b in group.column("counts").to_pylist()])
     vals = [totals[np.searchsorted(all_keys, k)].astype("<i8").tobytes() for k in keys]
     n = len(keys)
@@ -177,18 +174,18 @@ def _word_answers(group: pa.Table) -> pa.Table:
 
 
 def _gram_totals(group: pa.Table) -> pa.Table:
-    keys, totals = blocks.added([blocks.numbers(b, "<u8") for b in group.column("keys").to_pylist()],
+    keys, totals = blocks.added([blocks.unstepped(b) for b in group.column("keys").to_pylist()],
                                 [blocks.numbers(b, "<i8") for b in group.column("counts").to_pylist()])
     return pa.table({"place": pa.array([group.column("place")[0].as_py()] * len(keys), pa.int64()),
                      "gram": pa.array(keys.astype(np.int64)), "c": pa.array(totals.astype(np.int64))})
 
 
 def _gram_answers(asked: pa.Table, known: pa.Table) -> pa.Table:
-    grams, logs = known.column("gram").to_numpy(), known.column("log10_p").to_numpy()
+    grams, logs = known.column("gram").to_numpy().astype(np.uint64), known.column("log10_p").to_numpy()
     order = np.argsort(grams)
     grams, logs = grams[order], logs[order]
     rows = asked.column("keys").to_pylist()
-    vals = [logs[np.searchsorted(grams, blocks.numbers(b, "<i8"))].astype("<f8").tobytes() for b in rows]
+    vals = [logs[np.searchsorted(grams, blocks.unstepped(b))].astype("<f4").tobytes() for b in rows]
     n = len(rows)
     return pa.table({"kind": pa.array([GRAMS] * n, pa.int32()), "block": asked.column("block").cast(pa.int64()), "keys": pa.array(rows, pa.binary()),
                      "vals": pa.array(vals, pa.binary()), "distinct_words": pa.nulls(n, pa.int64()), "tokens": pa.nulls(n, pa.int64())})
@@ -233,9 +230,9 @@ def _scored(order: int, distinct_words: int, tokens: int, enders: int, schema: p
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         tables = {}
-        for kind, form in ((WORDS, "<i8"), (GRAMS, "<f8")):
+        for kind, form in ((WORDS, "<i8"), (GRAMS, "<f4")):
             mine = answers.filter(pa.compute.equal(answers.column("kind"), kind))
-            keys = np.concatenate([np.empty(0, "<u8"), *(blocks.numbers(b, "<u8") for b in mine.column("keys").to_pylist())])
+            keys = np.concatenate([np.empty(0, np.uint64), *map(blocks.unstepped, mine.column("keys").to_pylist())])
             vals = np.concatenate([np.empty(0, form), *(blocks.numbers(b, form) for b in mine.column("vals").to_pylist())])
             keys, first = np.unique(keys, return_index=True)
             tables[kind] = blocks.Lookup(keys, vals[first])
