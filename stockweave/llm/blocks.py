@@ -71,7 +71,7 @@ def place_of(keys: np.ndarray, places: int) -> np.ndarray:
     return (mix(keys.astype(np.uint64)) % np.uint64(places)).astype(np.int64)
 
 
-def as_batches(rows: Iterator[tuple], schema: pa.Schema, at_most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def as_batches(rows: Iterator[tuple], schema: pa.Schema, at_most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Rows as batches of bounded bytes."""
     held, size = [], 0
     for row in rows:
@@ -98,7 +98,7 @@ def unstepped(buffer: bytes) -> np.ndarray:
 class Sums:
     """Distinct keys and the sums of their counts, merged whenever enough has come in."""
 
-    def __init__(self, at_most: int = 2_000_000) -> None:
+    def __init__(self, at_most: int = 500_000) -> None:
         self.keys, self.counts, self.new, self.at_most = [], [], 0, at_most
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:

@@ -37,7 +37,7 @@ from .common import cut, ship
 from .shingles import _BYTES, _INVERSE, _WHITE, _power, mix
 
 ORDER = 5  # bytes of context
-TEXT_BYTES = 1 << 20  # of texts joined in one row
+TEXT_BYTES = 1 << 19  # of texts joined in one row
 WORDS, GRAMS = 0, 1
 END = b"\xff"
 
