@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import as_col, count_where, to_number
 from ..plans.lineage import cut
-from ..plans.quantiles import exact_quantiles
+from ..plans.quantiles import feature_quantiles
 
 FLOOR = 1e-6
 
@@ -28,9 +28,9 @@ def drift_report(reference: DataFrame, current: DataFrame, features, bins: int =
         raise ValueError("no feature is present in both samples")
     long = cut(_long(reference, current, shared))
     bin_of = F.lit(0)
+    found = feature_quantiles(long, [i / bins for i in range(bins + 1)])
     for feature in shared:
-        found = exact_quantiles(long.filter(F.col("feature") == feature), "value", [i / bins for i in range(bins + 1)])
-        inner = sorted(set(v for v in found if v is not None))[1:-1]
+        inner = sorted(set(found.get(feature, ())))[1:-1]
         place = sum(((F.col("value") >= F.lit(e)).cast("int") for e in inner), F.lit(0))
         bin_of = F.when(F.col("feature") == feature, place).otherwise(bin_of)
     is_reference = F.col("part") == "reference"

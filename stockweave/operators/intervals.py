@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import as_col, clip, first_rule
-from ..plans.quantiles import exact_quantiles, order_statistics
+from ..plans.quantiles import as_long, exact_quantiles, interpolate, order_statistics, quantile_ranks, select_ranks
 
 QUANTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
 DISTRIBUTION = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
@@ -30,15 +30,16 @@ def _bounded(value: Column, non_negative: bool) -> Column:
     return F.when(value.isNotNull(), F.greatest(value, F.lit(0.0))) if non_negative else value
 
 
-def conformal_radius(calibration: DataFrame, actual="actual", predicted="predicted", coverage: float = 0.9) -> float:
-    """The ceil((n+1) coverage)-th smallest absolute residual: an order statistic, no interpolation."""
+def conformal_rank(coverage: float):
     if not 0 < coverage < 1:
         raise ValueError("coverage must lie in (0, 1)")
+    # The product is rounded first, so that (n + 1) * 0.9 = 90.00000000000001 stays 90.
+    return lambda n: [max(1, min(ceil(round((n + 1) * coverage, 9)), n)) - 1]
 
-    def rank(n: int) -> list[int]:
-        # The product is rounded first, so that (n + 1) * 0.9 = 90.00000000000001 stays 90.
-        return [max(1, min(ceil(round((n + 1) * coverage, 9)), n)) - 1]
 
+def conformal_radius(calibration: DataFrame, actual="actual", predicted="predicted", coverage: float = 0.9) -> float:
+    """The ceil((n+1) coverage)-th smallest absolute residual: an order statistic, no interpolation."""
+    rank = conformal_rank(coverage)
     n, found = order_statistics(calibration, F.abs(_residual(actual, predicted)), rank)
     if not n:
         raise ValueError("no calibration row has both values")
@@ -95,8 +96,14 @@ def predictive_distribution(df: DataFrame, calibration: DataFrame, actual="actua
 def probabilistic_forecast(df: DataFrame, calibration: DataFrame, actual="actual", predicted="predicted",
                            coverage: float = 0.9) -> DataFrame:
     """Quantiles, conformal and asymmetric interval for every row."""
-    shifts = dict(zip(QUANTILES, residual_quantiles(calibration, QUANTILES, actual, predicted)))
-    radius = conformal_radius(calibration, actual, predicted, coverage)
+    residual, radius_rank = _residual(actual, predicted), conformal_rank(coverage)
+    found = select_ranks(as_long(calibration, {"signed": residual, "absolute": F.abs(residual)}),
+                         {"signed": quantile_ranks(QUANTILES), "absolute": radius_rank})
+    if not found:
+        raise ValueError("no calibration row has both values")
+    (n, signed), (_, absolute) = found["signed"], found["absolute"]
+    shifts = {q: interpolate(signed, n, q) for q in QUANTILES}
+    radius = absolute[radius_rank(n)[0]]
     return (df.transform(quantile_forecast, shifts, predicted)
               .transform(conformal_interval, radius, predicted)
               .transform(asymmetric_interval, shifts[0.10], shifts[0.90], predicted))

@@ -1,5 +1,5 @@
 """Forecast accuracy. Plain metrics are one aggregation; thresholds that are quantiles of a
-whole column come from `exact_quantiles`, those of one series from a window on it."""
+whole column come from `plans.quantiles`, those of one series from a window on it."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import as_col, clip, count_where
 from ..functions.windows import DAY_KEY, SERIES
-from ..plans.quantiles import exact_quantiles
+from ..plans.quantiles import column_quantiles, exact_quantiles
 
 
 def smape_term(actual, predicted, variant: str = "skip") -> Column:
@@ -72,7 +72,7 @@ def high_demand(df: DataFrame, actual="actual", predicted="predicted", quantile:
 
 def spike_recall(df: DataFrame, actual="actual", predicted="predicted", quantile: float = 0.9) -> DataFrame:
     """Share of the highest actual rows whose prediction is among the highest predictions."""
-    (a,), (p,) = exact_quantiles(df, actual, [quantile]), exact_quantiles(df, predicted, [quantile])
+    (a,), (p,) = column_quantiles(df, {"actual": actual, "predicted": predicted}, [quantile]).values()
     spikes = df.filter(as_col(actual) >= F.lit(a))
     return spikes.agg(F.coalesce(F.avg((as_col(predicted) >= F.lit(p)).cast("double")), F.lit(0.0)).alias("spike_recall"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, count_where, first_rule, flag, require_columns, to_number
 from ..plans.lineage import cut
-from ..plans.quantiles import exact_quantiles
+from ..plans.quantiles import column_quantiles
 from ..plans.ranks import rank_all
 
 STATIC = ("outlet_type", "country", "region", "city", "location_type", "cuisine", "capacity",
@@ -116,7 +116,7 @@ def outlet_profiles(outlets: DataFrame, demand: DataFrame) -> DataFrame:
         "weekend_weekday_ratio": safe_ratio("weekend_average_demand", "weekday_average_demand"),
     })
     profile = cut(profile)
-    volume, spread = (exact_quantiles(profile, c, [0.33, 0.66]) for c in ("average_daily_demand", "demand_cv"))
+    volume, spread = column_quantiles(profile, {c: c for c in ("average_daily_demand", "demand_cv")}, [0.33, 0.66]).values()
     if volume[0] is None:
         volume = spread = [0.0, 0.0]
     mean, cv = F.col("average_daily_demand"), F.col("demand_cv")
@@ -260,8 +260,8 @@ def performance_rows(demand: DataFrame) -> DataFrame:
         (F.col("performance_score") / 100.0 >= 0.45, "moderate")], "low")).drop("_rows", "_peak")
 
 
-def outlet_performance(demand: DataFrame) -> DataFrame:
-    """`performance_rows` with indices relative to all outlets, classes and three ranks."""
+def performance_indices(demand: DataFrame) -> DataFrame:
+    """`performance_rows`, stored, with indices relative to all outlets and their classes."""
     df = cut(performance_rows(demand))
     scaled = ("total_estimated_lost_demand", "opportunity_score", "operational_risk_score")
     spans = df.agg(*[f(c).alias(f"{n}_{c}") for c in scaled for n, f in (("low", F.min), ("high", F.max))]).first()
@@ -279,6 +279,12 @@ def outlet_performance(demand: DataFrame) -> DataFrame:
     })
     for index, name in (("opportunity_index", "opportunity_class"), ("risk_index", "operational_risk_class")):
         df = df.withColumn(name, first_rule([(F.col(index) >= 75.0, "high"), (F.col(index) >= 45.0, "moderate")], "low"))
+    return df
+
+
+def outlet_performance(demand: DataFrame) -> DataFrame:
+    """`performance_indices` with three ranks."""
+    df = cut(performance_indices(demand))
     for by, name in (("performance_score", "performance_rank"), ("opportunity_index", "opportunity_rank"),
                      ("risk_index", "risk_rank")):
         df = rank_all(df, by, name, method="min", stored=True)

@@ -133,7 +133,7 @@ def _(spark, sf):
 
 @query("outlet_segments", "outlet_id cluster_id:i cluster_size:i segment_name")
 def _(spark, sf):
-    return segments.outlet_segments(outlets.outlet_performance(demand(spark, sf)))
+    return segments.outlet_segments(outlets.performance_indices(demand(spark, sf)))
 
 
 # Classes and names of the segments follow from the cluster means; here the clusters are regions.
@@ -156,14 +156,14 @@ FROM (SELECT region AS cluster_id, count(*) AS outlet_count, avg(average_daily_d
   FROM performance JOIN outlets USING (outlet_id) GROUP BY 1) a) b""", ("performance", "outlets"))
 def _(spark, sf):
     regions = src.outlets(spark, sf).select("outlet_id", F.col("region").alias("cluster_id"))
-    return segments.cluster_profiles(outlets.outlet_performance(demand(spark, sf)).join(regions, "outlet_id"))
+    return segments.cluster_profiles(outlets.performance_indices(demand(spark, sf)).join(regions, "outlet_id"))
 
 
 @query("clustering_matrix", "outlet_id " + " ".join(f"z_{c}:6" for c in segments.FEATURES),
        "SELECT outlet_id, " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z_{c}" for c in segments.FEATURES)
        + " FROM performance", "performance")
 def _(spark, sf):
-    return segments.clustering_matrix(outlets.outlet_performance(demand(spark, sf)))
+    return segments.clustering_matrix(outlets.performance_indices(demand(spark, sf)))
 
 
 @query("text_matrix", "doc_id:i text_0:6 text_1:6 text_2:6 text_3:6")

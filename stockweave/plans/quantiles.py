@@ -1,87 +1,64 @@
-"""Exact order statistics and linear quantiles of a whole column, without a one-task sort.
+"""Exact order statistics and linear quantiles of whole columns, many columns and ranks at once.
 
-Thresholds are linearly interpolated quantiles, so a sketch alone is not enough; but a
-`percentile` over a whole table gathers every distinct value in one task. Here a sketch
-(`approxQuantile`) brackets the wanted rank, the rows outside the bracket are only counted,
-and the bracket is narrowed again until the values inside are few. Only single numbers reach
-the driver.
+Thresholds are linearly interpolated quantiles, so a sketch is not enough; but a `percentile` over
+a whole table gathers every distinct value in one task. Here the distinct values of all columns are
+counted in one pass and stored in ranges (`slices`); the counts before each range say which one
+holds a rank, and the rank is found inside it. The number of jobs depends neither on the columns nor
+on the ranks, and only the values found reach the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from math import ceil, floor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ColumnLike, as_col
-from .lineage import cut
-
-SMALL = 1_000_000
-SKETCH_ERROR = 1e-3
-
-
-def _pick_ranks(counted: DataFrame, ranks: list[int]) -> dict[int, float]:
-    """Values at 0-based ranks of a small (value, n) table."""
-    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ends = counted.withColumn("end", F.sum("n").over(upto))
-    wanted = F.array(*[F.lit(r).cast("bigint") for r in ranks])
-    hit = F.filter(wanted, lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end")))
-    rows = ends.select("value", F.explode(hit).alias("rank")).collect()
-    return {row["rank"]: float(row["value"]) for row in rows}
+from .slices import SLICE_ROWS, before, sliced
+
+Ranks = Callable[[int], list[int]]
+
+
+def select_ranks(long: DataFrame, ranks: Ranks | Mapping[str, Ranks], rows: int = SLICE_ROWS) -> dict[str, tuple[int, dict[int, float]]]:
+    """{feature: (number of values, {rank: value})} of a (feature, value) table.
+
+    `ranks(n)` says which 0-based ranks are wanted of a feature with n values, for all features or
+    for each. NULL values are not counted, and a feature without values is not in the result.
+    """
+    counted = (long.select("feature", F.col("value").cast("double").alias("value")).filter("value IS NOT NULL")
+               .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
+    parts = sliced(counted, ["feature", "value"], rows)
+    totals = {r["feature"]: r["n"] for r in parts.groupBy("feature").agg(F.sum("n").alias("n")).collect()}  # one row per column
+    wanted = [(f, r) for f, n in totals.items() for r in sorted(set((ranks if callable(ranks) else ranks[f])(n)))]
+    found: dict[str, dict[int, float]] = {f: {} for f in totals}
+    if wanted:
+        # As many rows as ranks are asked for.
+        asked = F.broadcast(long.sparkSession.createDataFrame(wanted, "feature string, rank long"))
+        held = before(parts, "n", ["feature"]).join(asked, "feature").filter("rank >= before AND rank < before + size")
+        inside = held.groupBy("feature", "slice", "before").agg(F.collect_set("rank").alias("ranks"))
+        upto = Window.partitionBy("feature", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        ends = parts.join(inside, ["feature", "slice"]).withColumn("end", F.col("before") + F.sum("n").over(upto))
+        hits = F.filter("ranks", lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end")))
+        for row in ends.select("feature", "value", F.explode(hits).alias("rank")).collect():
+            found[row["feature"]][row["rank"]] = row["value"]
+    return {f: (n, found[f]) for f, n in totals.items()}
+
+
+def as_long(df: DataFrame, columns: Mapping[str, ColumnLike]) -> DataFrame:
+    """(feature, value) of several columns, from one scan."""
+    pairs = [F.struct(F.lit(name).alias("feature"), as_col(c).cast("double").alias("value")) for name, c in columns.items()]
+    return df.select(F.inline(F.array(*pairs)))
+
+
+def order_statistics(df: DataFrame, value: ColumnLike, ranks: Ranks, rows: int = SLICE_ROWS) -> tuple[int, dict[int, float]]:
+    """(number of values, {rank: value}) for the 0-based ranks that `ranks(n)` asks for."""
+    return select_ranks(as_long(df, {"value": value}), ranks, rows).get("value", (0, {}))
 
 
-def order_statistics(df: DataFrame, value: ColumnLike, ranks: Callable[[int], list[int]],
-                     small: int = SMALL) -> tuple[int, dict[int, float]]:
-    """(number of values, {rank: value}) for the 0-based ranks that `ranks(n)` asks for."""
-    counted = (df.select(as_col(value).cast("double").alias("value")).filter("value IS NOT NULL")
-                 .groupBy("value").agg(F.count(F.lit(1)).alias("n")))
-    size = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-                       F.count(F.lit(1)).alias("distinct_values")).first()
-    if size["rows"] == 0:
-        return 0, {}
-    wanted = sorted(set(ranks(size["rows"])))
-    if size["distinct_values"] <= small:
-        return size["rows"], _pick_ranks(counted, wanted)
-    counted = cut(counted)
-    return size["rows"], {r: _narrow(counted, r, size["distinct_values"], small) for r in wanted}
-
-
-def _narrow(counted: DataFrame, rank: int, distinct_values: int, small: int) -> float:
-    """The value at one rank: bracket it over the distinct values, count, repeat."""
-    low, high = None, None
-    below = 0
-    while True:
-        inside = counted
-        if low is not None:
-            inside = counted.filter((F.col("value") >= low) & (F.col("value") <= high))
-        if distinct_values <= small:
-            return _pick_ranks(inside, [rank - below])[rank - below]
-        # Split the bracket at sketched cut points and keep the slice that holds the rank.
-        cuts = sorted(set(inside.approxQuantile("value", [i / 64 for i in range(65)], SKETCH_ERROR)))
-        slices = [(a, b) for a, b in zip(cuts, cuts[1:])]
-        tallies = inside.agg(*[
-            F.coalesce(F.sum(F.when((F.col("value") >= a) & (F.col("value") < b), F.col("n"))), F.lit(0))
-            .alias(f"s{i}") for i, (a, b) in enumerate(slices)]).first()
-        first = inside.filter(F.col("value") < cuts[0]).agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-        running = below + first
-        chosen = slices[-1]
-        for i, (a, b) in enumerate(slices):
-            chosen = (a, b)
-            if i == len(slices) - 1 or rank < running + tallies[f"s{i}"]:
-                break
-            running += tallies[f"s{i}"]
-        if rank < below + first:
-            chosen, running = (low if low is not None else float("-inf"), cuts[0]), below
-        elif chosen == slices[-1]:
-            chosen = (chosen[0], high if high is not None else float("inf"))
-        below, (low, high) = running, chosen
-        remaining = counted.filter((F.col("value") >= low) & (F.col("value") <= high)).count()
-        if remaining >= distinct_values:
-            small = remaining
-        distinct_values = remaining
+def quantile_ranks(probabilities) -> Ranks:
+    return lambda n: [r for p in probabilities for r in (floor(p * (n - 1)), ceil(p * (n - 1)))]
 
 
 def interpolate(found: dict[int, float], n: int, probability: float) -> float:
@@ -90,11 +67,18 @@ def interpolate(found: dict[int, float], n: int, probability: float) -> float:
     return found[low] + (found[high] - found[low]) * (position - low)
 
 
-def exact_quantiles(df: DataFrame, value: ColumnLike, probabilities: list[float],
-                    small: int = SMALL) -> list[float | None]:
-    """Linearly interpolated quantiles of a column; None for each when it has no value."""
-    def ranks(n: int) -> list[int]:
-        return [r for p in probabilities for r in (floor(p * (n - 1)), ceil(p * (n - 1)))]
+def feature_quantiles(long: DataFrame, probabilities, rows: int = SLICE_ROWS) -> dict[str, list[float]]:
+    """Linearly interpolated quantiles of every feature of a (feature, value) table that has a value."""
+    found = select_ranks(long, quantile_ranks(probabilities), rows)
+    return {f: [interpolate(values, n, p) for p in probabilities] for f, (n, values) in found.items()}
+
+
+def column_quantiles(df: DataFrame, columns: Mapping[str, ColumnLike], probabilities, rows: int = SLICE_ROWS) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles of several columns; None for each of a column without a value."""
+    found = feature_quantiles(as_long(df, columns), probabilities, rows)
+    return {name: found.get(name, [None] * len(probabilities)) for name in columns}
 
-    n, found = order_statistics(df, value, ranks, small)
-    return [interpolate(found, n, p) if n else None for p in probabilities]
+
+def exact_quantiles(df: DataFrame, value: ColumnLike, probabilities: list[float], rows: int = SLICE_ROWS) -> list[float | None]:
+    """Linearly interpolated quantiles of a column; None for each when it has no value."""
+    return column_quantiles(df, {"value": value}, probabilities, rows)["value"]

@@ -2,63 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .slices import SLICE_ROWS, before, sliced
 
-SMALL = 100_000
-SLICES = 256
 HOT_SHARE = 1000
 
 
-def _ranked_values(counted: DataFrame, score: str, weight: str, direction) -> DataFrame:
-    """(score, n, _rank) from (score, n): the score range is cut into slices of about equal
-    size, each slice is ranked on its own and shifted by the slices before it."""
-    points = counted.approxQuantile(score, [i / SLICES for i in range(1, SLICES)], 1 / (4 * SLICES))
-    splits = [float("-inf"), *sorted(set(points)), float("inf")]
-    sliced = Bucketizer(splits=splits, inputCol=score, outputCol="_slice").transform(counted)
-    sizes = sliced.groupBy("_slice").agg(F.sum(weight).alias("_size"))
-    # At most SLICES rows: this window and this broadcast have a fixed bound.
-    before = Window.orderBy(direction("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    earlier = (Window.partitionBy("_slice").orderBy(direction(score))
-               .rowsBetween(Window.unboundedPreceding, -1))
-    return (sliced.join(F.broadcast(offsets), "_slice")
-                  .withColumn("_rank", F.col("_offset") + F.coalesce(F.sum(weight).over(earlier), F.lit(0)) + 1)
-                  .select(score, "n", "_rank"))
-
-
 def rank_all(df: DataFrame, score: str, name: str, method: str = "dense", descending: bool = True,
-             stored: bool = False, small: int = SMALL) -> DataFrame:
+             stored: bool = False, rows: int = SLICE_ROWS) -> DataFrame:
     """Add the rank of `score` over all rows: "dense", or "min" (1 + number of better rows).
 
-    Every distinct value is ranked once, however often it occurs. Up to `small` distinct
-    values are ranked directly and broadcast (the size is measured first). Beyond that the
-    values are ranked in slices, and scores that many rows share, which would all meet in one
-    task of the join back, are joined by broadcast (at most HOT_SHARE values, by counting).
+    Every distinct value is ranked once, however often it occurs, inside its range (`slices`) and
+    after the ranges before. A value that one row in HOT_SHARE has would bring its rows together in
+    the join back; there are at most HOT_SHARE such values, and they are joined by broadcast.
     `stored` says that df is already cheap to read again. NULL scores get NULL.
     """
     df = df if stored else cut(df)
+    counted = (df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("_score"))
+                 .agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1)))
+    parts = sliced(counted, ["_score"], rows)
+    weight = "one" if method == "dense" else "n"
     direction = F.desc if descending else F.asc
-    counted = (df.filter(F.col(score).isNotNull()).groupBy(score)
-                 .agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1)))
-    weight = "_one" if method == "dense" else "n"
-    sizes = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-                        F.count(F.lit(1)).alias("distinct_values")).first()
-    columns = [*df.columns, name]
-    if sizes["distinct_values"] <= small:
-        earlier = Window.orderBy(direction(score)).rowsBetween(Window.unboundedPreceding, -1)
-        ranked = counted.select(score, (F.coalesce(F.sum(weight).over(earlier), F.lit(0)) + 1).alias(name))
-        return df.join(F.broadcast(ranked), score, "left").select(*columns)
-    ranked = cut(_ranked_values(cut(counted), score, weight, direction)).withColumnRenamed("_rank", name)
-    is_hot = F.col("n") * HOT_SHARE >= sizes["rows"]
-    hot, rare = ranked.filter(is_hot).drop("n"), ranked.filter(~is_hot).drop("n")
-    common = df.join(F.broadcast(hot), score).select(*columns)
-    others = df.join(F.broadcast(hot.select(score)), score, "left_anti").filter(F.col(score).isNotNull())
-    unscored = df.filter(F.col(score).isNull()).withColumn(name, F.lit(None).cast("bigint")).select(*columns)
-    return common.unionByName(others.join(rare, score).select(*columns)).unionByName(unscored)
+    earlier = Window.partitionBy("slice").orderBy(direction("_score")).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = (parts.withColumn("inside", F.coalesce(F.sum(weight).over(earlier), F.lit(0)))
+              .join(before(parts, weight, descending=descending).select("slice", "before"), "slice")
+              .select("_score", "n", (F.col("before") + F.col("inside") + 1).alias(name)))
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") * HOT_SHARE >= total
+    ranked = cut(ranked.withColumn("hot", is_hot))
+    hot = F.broadcast(ranked.filter("hot").select(F.col("_score").alias("_hot_score"), F.col(name).alias("_hot_rank")))
+    marked = df.join(hot, F.col(score) == F.col("_hot_score"), "left")
+    # Rows of a hot value or without one look for nothing, dealt out so that they do not meet in one task.
+    looks = F.col("_hot_rank").isNull() & F.col(score).isNotNull()
+    key = F.when(looks, F.col(score).cast("double")).otherwise(F.monotonically_increasing_id().cast("double"))
+    rare = ranked.filter("NOT hot").select(F.lit(True).alias("_found"), F.col("_score").cast("double").alias("_score"), F.col(name).alias("_rare_rank"))
+    marked = marked.withColumns({"_looks": looks, "_key": key})
+    joined = marked.join(rare, (F.col("_looks") == F.col("_found")) & (F.col("_key") == F.col("_score")), "left")
+    return joined.select(*df.columns, F.coalesce("_hot_rank", "_rare_rank").alias(name))
 
 
 def dense_rank_all(df: DataFrame, score: str, name: str, descending: bool = True, **options) -> DataFrame:
