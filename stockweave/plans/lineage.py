@@ -32,12 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can write."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _made.discard(path)
+
+
 def drop_cuts(spark: SparkSession) -> None:
     """Delete every table that `cut` has stored; call it when no frame made from them is read again."""
     for path in list(_made):
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        _made.discard(path)
+        delete(spark, path)
 
 
 def _at_end() -> None:

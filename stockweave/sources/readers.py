@@ -8,18 +8,11 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import column_or, gate, pick_column, require_columns, to_number
 from ..operators import calendar, quality
+from ..plans.lineage import cut
+from . import feeds
+from .feeds import ALIASES, FORMATS, REQUIRED
 
-FORMATS = ("csv", "parquet", "json")
 FEED_KEY = ("outlet_id", "product_id", "date")
-REQUIRED = ("date", "outlet_id", "product_id", "quantity_sold")
-
-# Accepted client names of the canonical columns.
-ALIASES = {
-    "date": ("timestamp", "datetime", "sale_date", "sales_date", "transaction_date"),
-    "quantity_sold": ("quantity", "qty", "units_sold", "sold_quantity"),
-    "outlet_id": ("outlet", "store_id", "restaurant_id", "branch_id"),
-    "product_id": ("product", "item_id", "sku", "item"),
-}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -59,54 +52,10 @@ def list_files(spark: SparkSession, folder: str, formats=FORMATS) -> list[str]:
     return sorted(out)
 
 
-def csv_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """Paths by header line, from one distributed pass over the first block of every file."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"),
-                                          F.col("_metadata.file_block_start").alias("block"),
-                                          F.monotonically_increasing_id().alias("line"))
-    first = lines.filter("block = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
-    grouped = first.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
-    return {r["header"]: sorted(r["paths"]) for r in grouped}
-
-
-def _text_frame(df: DataFrame) -> DataFrame:
-    """Canonical names, every value as text, the file it came from, the columns it lacks."""
-    named = normalize_feed_columns(df.withColumn("source_file", F.col("_metadata.file_path")))
-    lacking = ",".join(sorted(set(REQUIRED) - set(named.columns)))
-    named = named.select(*[F.col(c).cast("string").alias(c) for c in named.columns])
-    return named.withColumn("missing_columns", F.lit(lacking))
-
-
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Client files of any accepted format and header as one text frame.
-
-    Files with the same columns are read together, so the plan grows with the number of
-    layouts, not with the number of files.
-    """
-    by_format: dict[str, list[str]] = {}
-    for path in paths:
-        by_format.setdefault(path.rsplit(".", 1)[-1].lower(), []).append(path)
-    unknown = set(by_format) - set(FORMATS)
-    if unknown:
-        raise ValueError(f"unsupported file types {sorted(unknown)}")
-    frames = []
-    for header, group in csv_headers(spark, by_format["csv"]).items() if "csv" in by_format else ():
-        names = spark.createDataFrame([(header,)], "line string").select(F.from_csv("line", ", ".join(
-            f"c{i} string" for i in range(header.count(",") + 1))).alias("n")).select("n.*").first()
-        schema = T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(names)])
-        frames.append(_text_frame(spark.read.schema(schema).csv(group, header=True)))
-    if "json" in by_format:
-        frames.append(_text_frame(spark.read.option("primitivesAsString", True).json(by_format["json"])))
-    layouts: dict[tuple, list[str]] = {}
-    for path in by_format.get("parquet", ()):
-        layouts.setdefault(tuple(spark.read.parquet(path).dtypes), []).append(path)
-    frames += [_text_frame(spark.read.parquet(*group)) for group in layouts.values()]
-    if not frames:
-        raise ValueError("no file to read")
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame, allowMissingColumns=True)
-    return out
+    """Client files of any accepted format and header in the canonical columns as text, parsed once (`feeds`)."""
+    staged = cut(feeds.stage(spark, paths))
+    return feeds.canonical(staged, feeds.layouts(staged))
 
 
 def read_package(spark: SparkSession, folder: str, formats=FORMATS) -> DataFrame:

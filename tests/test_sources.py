@@ -43,19 +43,41 @@ def test_package_reader_maps_every_layout(spark, incoming):
 def test_streaming_ingest_accepts_quarantines_and_continues(spark, incoming, tmp_path):
     target, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
     ingest.start_ingest(spark, incoming, target, checkpoint).awaitTermination()
-    seen = {os.path.basename(r["source_file"]): r["reason"] for r in spark.read.parquet(f"{target}/manifest").collect()}
+    seen = {os.path.basename(r["source_file"]): r["reason"] for r in ingest.manifest_table(spark, target).collect()}
     assert seen == {"good.csv": None, "other.csv": None, "lines.json": None, "negative.csv": "NEGATIVE_QUANTITY",
                     "partial.csv": "MISSING_COLUMNS:product_id"}
     sales = {(r["outlet_id"], str(r["date"])): r["quantity_sold"] for r in ingest.sales_table(spark, target).collect()}
     assert sales == {("S1", "2025-01-01"): 7.0, ("S2", "2025-01-02"): 5.0, ("S3", "2025-01-03"): 7.0}
-    assert spark.read.parquet(f"{target}/quarantine").count() == 3
+    assert ingest.quarantine_table(spark, target).count() == 3
+    assert not os.path.exists(f"{target}/staged/batch=0")
     write(os.path.join(incoming, "later.csv"), "date,outlet_id,product_id,quantity_sold\n2025-01-05,S9,Z,1\n")
     ingest.start_ingest(spark, incoming, target, checkpoint).awaitTermination()
     assert ingest.sales_table(spark, target).count() == 4
     # A batch that runs again replaces its own output.
-    files = spark.read.format("binaryFile").load(os.path.join(incoming, "later.csv"))
+    files = spark.read.format("binaryFile").load(os.path.join(incoming, "later.csv")).select(
+        "path", F.col("_metadata.file_path").alias("source_file"), "length", "modificationTime")
     ingest.write_batch(files, 1, target)
     assert ingest.sales_table(spark, target).count() == 4
+    # Rows of a batch that has not written its manifest are not read.
+    os.rename(f"{target}/manifest/batch=1", f"{target}/held back")
+    assert ingest.sales_table(spark, target).count() == 3
+
+
+def test_feed_parsing_of_odd_files(spark, tmp_path):
+    write(tmp_path / "quoted.csv", '\ufeff"Date" ,outlet_id,"a, b",product_id,QTY\r\n2025-01-01,"O, ""1""",x,"P",5\r\n\n2025-01-02,O2\n')
+    write(tmp_path / "header.csv", "date,outlet_id,product_id,quantity_sold\n")
+    write(tmp_path / "broken.json", '{"date": "2025-01-01"\n{"Date": "2025-01-03", "outlet": 7, "item": true, "qty": 1.5, "qty2": null}\n')
+    spark.range(3).selectExpr("cast(id as int) qty", "'2025-01-01' date", "'a' outlet", "'b' sku").coalesce(1).write.parquet(str(tmp_path / "i"))
+    spark.range(2).selectExpr("cast(id as string) qty", "'2025-01-01' date", "'a' outlet", "'b' sku").coalesce(1).write.parquet(str(tmp_path / "s"))
+    paths = [str(tmp_path / n) for n in ("quoted.csv", "header.csv", "broken.json")]
+    paths += [str(p) for folder in "is" for p in (tmp_path / folder).glob("*.parquet")]
+    rows = readers.read_files(spark, paths)
+    got = sorted((tuple(r)[:4] for r in rows.collect()), key=str)
+    parquet = [("2025-01-01", "a", "b", str(i)) for i in (0, 0, 1, 1, 2)]
+    assert got == sorted([("2025-01-01", 'O, "1"', "P", "5"), ("2025-01-02", "O2", None, None), (None, None, None, None),
+                          ("2025-01-03", "7", "true", "1.5"), *parquet], key=str)
+    with pytest.raises(ValueError):
+        readers.read_files(spark, ["x.xlsx"])
 
 
 def test_json_requests_become_tables(spark):
