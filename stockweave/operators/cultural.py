@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, column_or, flag, gate, require_columns, to_number
 from ..functions.windows import DAY_KEY, lagged, rolling
+from .admission import calendar_input
 
 IMPORTANCE = ("holiday", "religious", "event")
 DEMOGRAPHIC_NUMBERS = ("population_density", "tourism_index", "student_index", "business_index",
@@ -17,7 +18,7 @@ DEMOGRAPHIC_LABELS = ("dominant_religious_context", "demographic_context", "city
 
 def prepare_calendar(df: DataFrame) -> DataFrame:
     """Canonical importance columns in [0, 1] and their active flags."""
-    require_columns(df, ["outlet_id", "date"], "calendar")
+    df = calendar_input(df)
     made: dict[str, Column] = {"date": F.col("date").cast("date")}
     for kind in IMPORTANCE:
         name = f"{kind}_importance"

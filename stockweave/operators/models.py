@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import ratio, require_columns
 from ..functions.windows import SERIES
 from ..plans.lineage import cut
-from . import calendar, drift, leakage, metrics, series, splits
+from . import admission, calendar, drift, leakage, metrics, series, splits
 
 HORIZONS = (1, 3, 7)
 STATE = 28
@@ -177,8 +177,8 @@ def learning_cycle(reference: DataFrame, current: DataFrame, target: str, featur
 
     The candidate is returned for the caller to save under the path of the current champion.
     """
-    for df, name in ((reference, "reference"), (current, "current")):
-        require_columns(df, [target], name)
+    for df, name in ((reference, "reference"), (current, "current"), (train_rows, "training rows"), (evaluation, "evaluation")):
+        admission.learning_data(df, target, name)
     report = drift.drift_report(reference, current, features)
     decision = drift.retraining_decision(report, current.count(), scheduled=force)
     if not decision.first()["should_retrain"]:

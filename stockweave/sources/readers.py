@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import column_or, gate, pick_column, require_columns, to_number
-from ..operators import calendar, quality
+from ..functions.exprs import column_or, pick_column, require_columns, to_number
+from ..operators import admission, calendar, quality
 from ..plans.lineage import cut
 from . import feeds
 from .feeds import ALIASES, FORMATS, REQUIRED
@@ -103,9 +103,9 @@ def typed_feed(df: DataFrame) -> DataFrame:
 
 
 def canonical_feed(df: DataFrame) -> DataFrame:
-    """A client feed with complete rows only; one negative quantity refuses the whole feed."""
+    """A client feed with complete rows only; one negative quantity refuses the whole feed, before any row is handed out."""
     rows = typed_feed(df).dropna(subset=list(REQUIRED))
-    return gate(rows, F.col("quantity_sold") < 0, "client quantity_sold contains negative values")
+    return admission.admit(rows, {"negative quantity_sold": F.col("quantity_sold") < 0}, "client feed", empty=None)
 
 
 def daily_grain(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from stockweave.operators import client, cultural, daily, decisions, quality, scenario, segments, supply
+from stockweave.operators import admission, client, cultural, daily, decisions, quality, scenario, segments, supply
 from stockweave.sources import demand_tables as src
 from stockweave.sources import readers
 
@@ -22,12 +22,35 @@ def fails(*actions):
 
 def test_a_negative_quantity_refuses_the_feed(spark):
     rows = spark.createDataFrame([("O", "P", DAY, 1.0), ("O", "P", DAY, -1.0)], "outlet_id string, product_id string, date date, quantity_sold double")
-    feed = readers.canonical_feed(rows)
-    fails(feed.count, feed.select("outlet_id").distinct().collect, quality.sufficiency(feed).collect, readers.daily_grain(feed).count)
+    fails(lambda: readers.canonical_feed(rows), lambda: readers.canonical_feed(rows).limit(1), lambda: readers.daily_grain(readers.canonical_feed(rows)))
+    with pytest.raises(admission.Refused, match="negative quantity_sold:1"):
+        readers.canonical_feed(rows.limit(5))
     good = readers.canonical_feed(rows.filter("quantity_sold > 0"))
     assert good.count() == 1 and good.columns == rows.columns
 
 
+def test_inputs_are_judged_as_a_whole(spark):
+    schema = "outlet_id string, product_id string, date string, quantity_sold double"
+    good = spark.createDataFrame([("O", "P", "2025-01-01", 1.0), ("O", "P", "2025-01-02", 2.0)], schema)
+    bad = good.unionByName(spark.createDataFrame([("O", "P", "x", 1.0), ("O", "P", None, None)], schema))
+    assert admission.training_input(good).count() == 2 and admission.strict_history(good, "quantity_sold").schema["date"].dataType.simpleString() == "date"
+    for gate, message in ((admission.training_input, "null date:1, null quantity_sold:1"),
+                          (lambda df: admission.strict_history(df, "quantity_sold"), "invalid date:2, invalid quantity_sold:1")):
+        with pytest.raises(admission.Refused, match=message):
+            gate(bad)
+    assert admission.prepared_history(bad).count() == 2
+    for gate in (admission.training_input, admission.prepared_history, admission.calendar_input, cultural.prepare_calendar,
+                 lambda df: admission.learning_data(df, "quantity_sold", "reference")):
+        with pytest.raises(admission.Refused):
+            gate(good.limit(0))
+        with pytest.raises(admission.Refused, match="missing date"):
+            gate(good.drop("date"))
+    assert admission.strict_history(good.limit(0), "quantity_sold").count() == 0
+    with pytest.raises(admission.Refused, match="null date:1"):
+        admission.training_input(bad.fillna(0.0, ["quantity_sold"]), store=False)
+    assert {r.rule: r.violations for r in admission.violations(bad, {"a": F.col("date").isNull(), "b": F.lit(False)}).collect()} == {"a": 1, "b": 0}
+
+
 def test_an_unknown_outlet_fails_every_action(spark):
     known = src.outlets(spark, SF)
     rows = known.select("outlet_id").limit(2).unionByName(spark.createDataFrame([("nowhere",)], "outlet_id string"))
