@@ -6,7 +6,7 @@ learner, so results are checked by invariants, not by SQL.
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -92,7 +92,7 @@ def rolling_stats(rows: int) -> tuple[Column, Column]:
     return F.when(enough, mean), F.when(enough, F.sqrt(spread / F.lit(float(rows - 1))))
 
 
-def state_features(df: DataFrame, day: date) -> DataFrame:
+def state_features(df: DataFrame, day: date | Column) -> DataFrame:
     """The features of a future day from the state array; the same names and values as
     `series.model_features` gives for a row appended to the history."""
     size = F.size("state")
@@ -119,26 +119,30 @@ def state_features(df: DataFrame, day: date) -> DataFrame:
     return df.withColumns(second).transform(calendar.time_features).transform(calendar.seasonality)
 
 
-def recursive_forecast(model: PipelineModel, history: DataFrame, start: date, horizon: int = 7,
+def recursive_forecast(model: PipelineModel, history: DataFrame, start: date | DataFrame, horizon: int = 7,
                        target: str = "quantity_sold", keys=SERIES) -> DataFrame:
     """(keys, date, horizon, prediction) for D+1 .. D+h of all series at once.
 
     Each step scores one row per series and appends the prediction to its state. Steps depend
     on each other, so the small state is stored between them. A series with too short a
-    history gets NULL instead of stopping the others.
+    history gets NULL instead of stopping the others. `start` is a day, or a table of some of the
+    keys with their own `_start`.
     """
     if horizon not in HORIZONS:
         raise ValueError(f"horizon must be one of {HORIZONS}")
-    state = cut(series_state(history, target, keys=keys).select(*keys, "state"))
-    columns = F.array().cast("array<double>")
-    state = state.withColumn("path", columns)
+    state = series_state(history, target, keys=keys).select(*keys, "state")
+    if isinstance(start, DataFrame):
+        state = state.join(start, [k for k in keys if k in start.columns])
+    else:
+        state = state.withColumn("_start", F.lit(start))
+    state = cut(state).withColumn("path", F.array().cast("array<double>"))
     for step in range(horizon):
-        scored = predict(model, state_features(state, start + timedelta(days=step)))
+        scored = predict(model, state_features(state, F.date_add("_start", step)))
         moved = F.concat(F.slice("state", 2, STATE - 1), F.array(F.coalesce("prediction", F.lit(None).cast("double"))))
-        state = cut(scored.select(*keys, F.when(F.col("prediction").isNotNull(), moved).otherwise(F.col("state")).alias("state"),
+        state = cut(scored.select(*keys, "_start", F.when(F.col("prediction").isNotNull(), moved).otherwise(F.col("state")).alias("state"),
                                   F.concat("path", F.array("prediction")).alias("path")))
-    rows = state.select(*keys, F.posexplode("path").alias("_step", "prediction"))
-    return rows.select(*keys, F.date_add(F.lit(start), F.col("_step")).alias("date"),
+    rows = state.select(*keys, "_start", F.posexplode("path").alias("_step", "prediction"))
+    return rows.select(*keys, F.date_add("_start", F.col("_step")).alias("date"),
                        (F.col("_step") + 1).alias("horizon"), "prediction")
 
 
