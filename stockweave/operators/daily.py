@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, column_or, count_where, first_rule, gate, pick_column, require_columns, to_number
 from ..functions.windows import SERIES
+from ..plans.lineage import cut
+from ..plans.slices import SLICE_ROWS, before, sliced
 
 # Accepted names of the demand and stock columns, in order of preference.
 DEMAND_NAMES = ("deconstrained_demand", "estimated_true_demand", "true_demand", "quantity_sold")
@@ -295,13 +297,47 @@ def action_page(actions: DataFrame, page: int = 1, page_size: int = 20, **filter
     })
 
 
-def compact_actions(actions: DataFrame) -> DataFrame:
-    """Nested actions as flat columns."""
+def page_index(actions: DataFrame, page_size: int = 20, rows: int = SLICE_ROWS, **filters) -> DataFrame:
+    """The ranked actions stored with their position, so that a page is a range of positions.
+
+    They are ranged once by the ranking order and numbered inside each range, after the ranges before;
+    files hold rising positions, by which a reader skips all but those of the page.
+    """
+    if not 1 <= page_size <= 100:
+        raise ValueError("1 <= page_size <= 100 is required")
+    parts = sliced(filter_actions(actions, **filters).withColumn("_one", F.lit(1)), ranking_order(), rows)
+    offsets = before(parts, "_one")
+    total = offsets.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total_actions"))
+    inside = F.row_number().over(Window.partitionBy("slice").orderBy(*ranking_order()))
+    numbered = parts.join(offsets.select("slice", "before"), "slice").withColumn("position", F.col("before") + inside)
+    numbered = numbered.drop("slice", "before", "_one").join(F.broadcast(total), F.lit(True)).withColumn("page_size", F.lit(page_size))
+    return cut(numbered.sortWithinPartitions("position"))
+
+
+def indexed_page(index: DataFrame, page: int) -> DataFrame:
+    """One page of a `page_index`, by a filter on positions; a page beyond the last has no rows."""
+    if page < 1:
+        raise ValueError("page >= 1 is required")
+    size = index.select("page_size").first()
+    last = page * (size[0] if size else 1)
+    first = last - (size[0] if size else 1) + 1
+    rows = index.filter(F.col("position").between(first, last))
+    extra = [F.col("position"), F.lit(page).alias("page"), F.col("total_actions"), F.ceil(F.col("total_actions") / F.col("page_size")).alias("total_pages"),
+             (F.lit(last) < F.col("total_actions")).alias("has_next")]
+    return _compact(rows, extra)
+
+
+def _compact(actions: DataFrame, extra=()) -> DataFrame:
     return actions.select(
         "outlet.outlet_id", "outlet.outlet_name", "outlet.outlet_type", "product.product_id", "product.product_name",
         "product.unit", "date", "forecast.*", "inventory.*", "supply.lead_time_days", "supply.lead_time_demand",
         "supply.recommended_order", "supply.order_unit", "supply.supplier_risk", "demand_risk", "demand_spike",
-        "stockout_risk", "priority", "recommendation.action", "recommendation.reason", "model_confidence", "key_drivers")
+        "stockout_risk", "priority", "recommendation.action", "recommendation.reason", "model_confidence", "key_drivers", *extra)
+
+
+def compact_actions(actions: DataFrame) -> DataFrame:
+    """Nested actions as flat columns."""
+    return _compact(actions)
 
 
 def priority_summary(actions: DataFrame) -> DataFrame:

@@ -157,13 +157,17 @@ def future_features(history: DataFrame, future: DataFrame, target: str = "quanti
     return series.model_features(both, target).filter("_future").drop("_future")
 
 
-def predict_with_history(model: PipelineModel, rows: DataFrame, history: DataFrame, target: str = "quantity_sold") -> DataFrame:
-    """Predict a window of rows with the preceding history as context; the newer row wins."""
+def window_features(rows: DataFrame, history: DataFrame, target: str = "quantity_sold", compact: bool = False) -> DataFrame:
+    """Features of a window of rows with the preceding history as context; the newer row wins."""
     keys = [*SERIES, "date"]
     both = splits.keep_last(history.select(*keys, target), rows.select(*keys, target), keys)
-    featured = series.compact_features(both, target) if set(inputs(model)) <= set(series.COMPACT_FEATURES) \
-        else series.model_features(both, target)
-    return predict(model, featured).join(rows.select(*keys), keys, "left_semi")
+    featured = series.compact_features(both, target) if compact else series.model_features(both, target)
+    return featured.join(rows.select(*keys), keys, "left_semi")
+
+
+def predict_with_history(model: PipelineModel, rows: DataFrame, history: DataFrame, target: str = "quantity_sold") -> DataFrame:
+    """Predict a window of rows with the preceding history as context."""
+    return predict(model, window_features(rows, history, target, set(inputs(model)) <= set(series.COMPACT_FEATURES)))
 
 
 def latest_predictions(predicted: DataFrame, keys=SERIES) -> DataFrame:
