@@ -18,7 +18,7 @@ def _among(keys) -> Window:
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
 
 
-def minmax_score(value: str, higher_is_better: bool, keys=()) -> Column:
+def minmax_score(value: str, higher_is_better: bool, keys) -> Column:
     """Position between the worst (0) and the best (1) model; 1 for all when they are equal."""
     w = _among(keys)
     low, high = F.min(value).over(w), F.max(value).over(w)
@@ -27,7 +27,7 @@ def minmax_score(value: str, higher_is_better: bool, keys=()) -> Column:
     return F.when(span <= 1e-12, 1.0).otherwise(position if higher_is_better else 1.0 - position)
 
 
-def rank_models(scores: DataFrame, keys=()) -> DataFrame:
+def rank_models(scores: DataFrame, keys) -> DataFrame:
     parts = {name: weight * minmax_score(name, up, keys) for name, weight, up in CRITERIA}
     df = scores.withColumns({
         "error_score": parts["mae"] + parts["rmse"] + parts["smape"] + parts["high_demand_mae"],
@@ -39,7 +39,7 @@ def rank_models(scores: DataFrame, keys=()) -> DataFrame:
     return df.withColumn("rank", F.rank().over(_among(keys).orderBy(F.desc(F.round("score", 9)))))
 
 
-def model_weights(scores: DataFrame, keys=(), horizon: int = 1, minimum_weight: float = 0.05,
+def model_weights(scores: DataFrame, keys, horizon: int = 1, minimum_weight: float = 0.05,
                   error_power: float = 1.0, stability_power: float = 0.25) -> DataFrame:
     """Weights from validation error and stability; models below the minimum are dropped.
 

@@ -6,8 +6,10 @@ learner, so results are checked by invariants, not by SQL.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -135,15 +137,25 @@ def recursive_forecast(model: PipelineModel, history: DataFrame, start: date | D
         state = state.join(start, [k for k in keys if k in start.columns])
     else:
         state = state.withColumn("_start", F.lit(start))
-    state = cut(state).withColumn("path", F.array().cast("array<double>"))
-    for step in range(horizon):
-        scored = predict(model, state_features(state, F.date_add("_start", step)))
-        moved = F.concat(F.slice("state", 2, STATE - 1), F.array(F.coalesce("prediction", F.lit(None).cast("double"))))
-        state = cut(scored.select(*keys, "_start", F.when(F.col("prediction").isNotNull(), moved).otherwise(F.col("state")).alias("state"),
+    days = F.sequence("_start", F.date_add("_start", horizon - 1))
+    done = forecast_days(model, state.withColumn("days", days), horizon, keys, kept=("days",))
+    rows = done.select(*keys, F.posexplode(F.arrays_zip("days", "path")).alias("_step", "_row"))
+    return rows.select(*keys, F.col("_row.days").alias("date"), (F.col("_step") + 1).alias("horizon"), F.col("_row.path").alias("prediction"))
+
+
+def forecast_days(model: PipelineModel, states: DataFrame, steps: int, keys=SERIES, kept=()) -> DataFrame:
+    """(keys, kept, path): the forecasts of the dates in `days`, one after the other, from the values in `state`.
+
+    A step beyond a series' days, or without the values it needs, is NULL and leaves the state as it is.
+    """
+    carried = [*keys, *dict.fromkeys(("days", *kept))]
+    state = cut(states.select(*carried, "state")).withColumn("path", F.array().cast("array<double>"))
+    for step in range(steps):
+        scored = predict(model, state_features(state, F.get("days", F.lit(step))))
+        moved = F.concat(F.slice("state", 2, STATE - 1), F.array("prediction"))
+        state = cut(scored.select(*carried, F.when(F.col("prediction").isNotNull(), moved).otherwise(F.col("state")).alias("state"),
                                   F.concat("path", F.array("prediction")).alias("path")))
-    rows = state.select(*keys, "_start", F.posexplode("path").alias("_step", "prediction"))
-    return rows.select(*keys, F.date_add("_start", F.col("_step")).alias("date"),
-                       (F.col("_step") + 1).alias("horizon"), "prediction")
+    return state.drop("state")
 
 
 def future_features(history: DataFrame, future: DataFrame, target: str = "quantity_sold") -> DataFrame:
@@ -204,7 +216,7 @@ def ablation_features(df: DataFrame, mode: str, target: str = "quantity_sold", t
     """Features and column names of one ablation mode."""
     from . import cultural
 
-    if mode not in ("history", "numeric", "numeric_text", "numeric_visual", "multimodal"):
+    if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
     featured = series.temporal_features(df, target)
     columns = [c for c in featured.columns if c.startswith(("history_", "calendar_"))]
@@ -222,16 +234,28 @@ def ablation_features(df: DataFrame, mode: str, target: str = "quantity_sold", t
     return featured.fillna(0.0, columns), columns
 
 
-def ablation(df: DataFrame, modes=("history", "numeric"), target: str = "quantity_sold", validation_days: int = 30,
+MODES = ("history", "numeric", "numeric_text", "numeric_visual", "multimodal")
+
+
+def ablation(df: DataFrame, modes=MODES, target: str = "quantity_sold", validation_days: int = 30,
              test_days: int = 30, text: DataFrame | None = None, **training) -> DataFrame:
-    """Test metrics per mode: fit on train and validation rows, measured on the last days."""
-    out = None
-    for mode in modes:
+    """Test metrics per mode: fit on train and validation rows, measured on the last days.
+
+    The modes differ in their columns only and are fitted at the same time.
+    """
+    df = cut(df)
+
+    def measure(mode: str) -> DataFrame:
         featured, columns = ablation_features(df, mode, target, text)
         labelled = splits.last_days_split(cut(featured), validation_days, test_days)
         model = train(labelled.filter("split <> 'test'"), columns, target, loss="absolute", **training)
         test = predict(model, labelled.filter("split = 'test'"))
         measured = metrics.ablation_metrics(cut(test), target, "prediction")
-        row = measured.select(F.lit(mode).alias("mode"), *[F.col(c).alias(f"test_{c}") for c in measured.columns])
-        out = row if out is None else out.unionByName(row)
+        return cut(measured.select(F.lit(mode).alias("mode"), F.lit(len(columns)).alias("features"), *[F.col(c).alias(f"test_{c}") for c in measured.columns]))
+
+    with ThreadPoolExecutor(len(modes)) as pool:
+        rows = list(pool.map(inheritable_thread_target(df.sparkSession)(measure), modes))
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
     return out

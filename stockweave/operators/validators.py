@@ -216,7 +216,7 @@ def hybrid_rules(df: DataFrame) -> DataFrame:
     return count_rules(df, rules, ["model_name", "mae", "rmse", "smape", "bias", "high_demand_mae", "spike_recall"], key=["model_name"])
 
 
-def ablation_rules(df: DataFrame, modes=("history", "numeric", "numeric_text", "multimodal")) -> DataFrame:
+def ablation_rules(df: DataFrame, modes=("history", "numeric", "numeric_text", "numeric_visual", "multimodal")) -> DataFrame:
     rules = _negative("test_mae", "test_rmse") | {"unknown mode": ~F.col("mode").isin(*modes)}
     return count_rules(df, rules, ["mode", "test_mae", "test_rmse"], key=["mode"])
 

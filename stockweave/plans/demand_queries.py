@@ -22,6 +22,11 @@ def demand(spark, sf):
     return stockout.deconstrain(*stock(spark, sf))
 
 
+def demand_of(facts):
+    """`demand` from facts that are already there."""
+    return stockout.deconstrain(src.sales(facts), src.inventory(facts))
+
+
 # --- true demand -----------------------------------------------------------------------------
 
 cte("true_demand", f"""

@@ -113,12 +113,6 @@ def _(spark, sf):
     return models.recursive_forecast(model, facts, start, 7)
 
 
-@query("gbt_ablation", "mode test_mae:6 test_rmse:6 test_smape:6 test_bias:6 test_high_demand_mae:6 test_spike_recall:6")
-def _(spark, sf):
-    from .feature_queries import with_context
-    return models.ablation(with_context(spark, sf), ["history", "numeric"])
-
-
 @query("learning_cycle", "rows:i champion_mae:6 candidate_mae:6 improvement_pct:6 passes:b action")
 def _(spark, sf):
     facts = cut(src.daily_facts(spark, sf).select("outlet_id", "product_id", "date", "quantity_sold", "discount"))

@@ -6,18 +6,30 @@ from pyspark.sql import functions as F
 
 from ..operators import scenario, supply
 from ..sources import demand_tables as src
-from .demand_queries import demand
+from .demand_queries import demand, demand_of
+from .lineage import cut
 from .registry import cte, query
 
 
+def _needed(made):
+    return made.select("outlet_id", "product_id", "date", F.col("deconstrained_demand").alias("demand"))
+
+
 def product_demand(spark, sf):
-    return demand(spark, sf).select("outlet_id", "product_id", "date", F.col("deconstrained_demand").alias("demand"))
+    return _needed(demand(spark, sf))
 
 
 def required(spark, sf):
     return supply.supply_demand(product_demand(spark, sf), src.bill_of_materials(spark, sf))
 
 
+def recommendations(spark, sf):
+    """Demand and stock from one stored cube, so the line items are scanned once."""
+    cube = src.supply_cube(spark, sf)
+    need = supply.supply_demand(_needed(demand_of(cut(src.facts_of(cube)))), src.bill_of_materials(spark, sf))
+    return supply.supply_recommendations(need, src.stock_of(cube), supply.normalize_contract(src.supplier_contract(spark, sf)))
+
+
 cte("exploded", """
 SELECT outlet_id, date, product_id, deconstrained_demand AS demand, supply_product_id, supply_unit, quantity_per_unit,
   deconstrained_demand * quantity_per_unit AS supply_requirement
@@ -88,8 +100,7 @@ FROM (SELECT outlet_id, date, supply_product_id, required_supply, coalesce(closi
        "recommended_order_quantity:6 supply_risk_ratio:6 supply_risk order_required:b",
        "SELECT * FROM recommended", "recommended")
 def _(spark, sf):
-    return supply.supply_recommendations(required(spark, sf), src.supply_inventory(spark, sf),
-                                         supply.normalize_contract(src.supplier_contract(spark, sf)))
+    return recommendations(spark, sf)
 
 
 # --- reorder point per pair: last seven days as the forecast ------------------------------------------

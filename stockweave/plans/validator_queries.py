@@ -169,8 +169,7 @@ BELOW = dict.fromkeys(SUPPLY, "-1") | {"target_inventory": "-2", "inventory_posi
     "target inconsistent": day(7), "position inconsistent": day(8), "outlet_id missing": None,
     "supply_product_id missing": day(9), "date missing": None}), "supply_days")
 def _(spark, sf):
-    made = supply.supply_recommendations(
-        supply_queries.required(spark, sf), src.supply_inventory(spark, sf), supply.normalize_contract(src.supplier_contract(spark, sf)))
+    made = supply_queries.recommendations(spark, sf)
     return validators.supply_rules(damage(
         made, (day(1), {"supply_risk_ratio": "1.5"}), (day(2), {"supply_risk": "'other'"}), (day(3), {"order_required": "NOT order_required"}),
         (day(4), {"shortage": "shortage + 1"}), (day(5), EMPTY_STOCK), (day(6), FULL_STOCK), (day(7), {"safety_stock": "safety_stock + 1"}),

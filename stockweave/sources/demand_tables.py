@@ -5,36 +5,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def daily_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales and stock per nation, part type and ship day.
-
-    The grouping is partially aggregated before its shuffle, so a nation or part that holds
-    a large share of the line items is reduced to one row per day first. Dimension joins
-    carry no hint: Spark broadcasts them only when their measured size allows it.
-    """
+def _line_items(spark: SparkSession, sf_dir: str, *part_columns: str) -> DataFrame:
+    """Line items with the nation of their supplier and columns of their part. Dimension joins
+    carry no hint: Spark broadcasts them only when their measured size allows it."""
     line = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
         "l_linestatus", "l_shipdate")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    part = table(spark, sf_dir, "part").select("p_partkey", *part_columns)
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    returned = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")
     return (line.join(part, line.l_partkey == part.p_partkey)
                 .join(supplier, line.l_suppkey == supplier.s_suppkey)
-                .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-                .groupBy(F.col("n_name").alias("outlet_id"), F.col("p_type").alias("product_id"),
-                         F.to_date("l_shipdate").alias("date"))
-                .agg(F.sum("l_quantity").alias("quantity_sold"),
-                     F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
-                     (F.max("l_discount") * 100).alias("discount"),
-                     F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).otherwise(0.0))
-                      .alias("received_stock"),
-                     F.sum(F.when(returned, 0.0).otherwise(F.col("l_quantity"))).alias("closing_stock")))
+                .join(nation, F.col("s_nationkey") == F.col("n_nationkey")))
+
+
+def _day_measures() -> list:
+    returned = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")
+    return [F.sum("l_quantity").alias("quantity_sold"),
+            F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
+            (F.max("l_discount") * 100).alias("discount"),
+            F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).otherwise(0.0))
+             .alias("received_stock"),
+            F.sum(F.when(returned, 0.0).otherwise(F.col("l_quantity"))).alias("closing_stock")]
+
+
+def daily_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales and stock per nation, part type and ship day.
+
+    The grouping is partially aggregated before its shuffle, so a nation or part that holds
+    a large share of the line items is reduced to one row per day first.
+    """
+    return _line_items(spark, sf_dir, "p_type").groupBy(
+        F.col("n_name").alias("outlet_id"), F.col("p_type").alias("product_id"),
+        F.to_date("l_shipdate").alias("date")).agg(*_day_measures())
+
+
+def supply_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of `daily_facts` per nation, part type, brand and ship day, stored: one scan of
+    the line items from which both the facts and the stock of supply items are rolled up."""
+    return cut(_line_items(spark, sf_dir, "p_type", "p_brand").groupBy(
+        F.col("n_name").alias("outlet_id"), F.col("p_type").alias("product_id"), F.col("p_brand").alias("supply_product_id"),
+        F.to_date("l_shipdate").alias("date")).agg(*_day_measures()))
+
+
+def facts_of(cube: DataFrame) -> DataFrame:
+    """`daily_facts` from the cube."""
+    return cube.groupBy("outlet_id", "product_id", "date").agg(
+        F.sum("quantity_sold").alias("quantity_sold"), F.sum("revenue").alias("revenue"), F.max("discount").alias("discount"),
+        F.sum("received_stock").alias("received_stock"), F.sum("closing_stock").alias("closing_stock"))
+
+
+def stock_of(cube: DataFrame) -> DataFrame:
+    """Stock per nation, brand and day from the cube."""
+    return cube.groupBy("outlet_id", F.col("supply_product_id").alias("product_id"), "date").agg(
+        F.sum("received_stock").alias("received_stock"), F.sum("closing_stock").alias("closing_stock"))
 
 
 def sales(facts: DataFrame) -> DataFrame:
@@ -145,21 +176,3 @@ def supplier_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(brand.alias("supply_product_id"), F.concat(F.lit("S-"), brand).alias("supplier_id"),
                     (1 + _brand_number(brand) % 5).alias("lead_time_days"),
                     F.lit(5.0).alias("minimum_order_quantity"), F.lit(5.0).alias("order_multiple")))
-
-
-def supply_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock per nation, brand and day."""
-    line = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    returned = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")
-    return (line.join(part, line.l_partkey == part.p_partkey)
-                .join(supplier, line.l_suppkey == supplier.s_suppkey)
-                .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-                .groupBy(F.col("n_name").alias("outlet_id"), F.col("p_brand").alias("product_id"),
-                         F.to_date("l_shipdate").alias("date"))
-                .agg(F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).otherwise(0.0))
-                      .alias("received_stock"),
-                     F.sum(F.when(returned, 0.0).otherwise(F.col("l_quantity"))).alias("closing_stock")))
