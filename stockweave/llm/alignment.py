@@ -8,7 +8,8 @@ they are a link, and links are counted by id pair over the whole corpus.
 
 Neither tokenizer joins a single space between two visible characters to what stands before it, so
 these spaces are shared cuts that are known beforehand, and the tokens and groups between two of them
-depend on nothing else. Such spans repeat and are kept, per worker, in a table of bounded size.
+depend on nothing else. Such spans repeat and are kept, per worker, in two tables of bounded size: a
+full one is set aside, and what is used of the one set aside before moves on.
 A text whose tokens of either kind do not spell " " + text has no tokens.
 
 Per document the distinct pairs are stored with their numbers; blocks of documents ask once per pair
@@ -40,7 +41,8 @@ from . import blocks
 from .common import cut, ship
 
 BYTES_A, PIECES_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-KEPT_SPANS = 200_000
+KEPT_SPANS = 150_000  # in each of the two tables
+_NAMES = [str(i) for i in range(1 << 16)]
 _SPAN = re.compile(r"(?<=\S) (?=\S)")
 _SPACED = re.compile(r"\s | \s|^ | $")  # a space that does not stand between two visible characters
 
@@ -76,9 +78,11 @@ class Span:
 
     def __init__(self, a: list[int], b: list[int], cuts: list[tuple[int, int]]) -> None:
         self.n_a, self.n_b, self.n_groups = len(a), len(b), len(cuts)
+        names_a, names_b = ([_NAMES[t] if t < 65536 else str(t) for t in ids] for ids in (a, b))
         written, i, j = [], 0, 0
         for m, n in cuts:
-            written.append(f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}")
+            left = names_a[i] if m - i == 1 else ",".join(names_a[i:m])
+            written.append(f"{left}|{names_b[j] if n - j == 1 else ','.join(names_b[j:n])}")
             i, j = m, n
         self.groups = ";".join(written)
         self.pairs = array("Q", [a[m - 1] << 32 | b[n - 1] for m, n in cuts])
@@ -102,6 +106,7 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces)  # no piece goes on after a word
         self._kept: dict[str, Span | None] = {}
+        self._before: dict[str, Span | None] = {}
 
     def _ranked(self, path: str):
         """tiktoken with the same vocabulary as ranks, if `path` is the public file that has such a twin."""
@@ -135,11 +140,14 @@ class Aligner:
 
     def documents(self, texts: list[str]) -> Iterator[list[Span]]:
         """The spans of each text, in order; none for a text without tokens."""
-        kept = self._kept
-        if len(kept) > KEPT_SPANS:
-            kept.clear()
+        if len(self._kept) > KEPT_SPANS:
+            self._kept, self._before = {}, self._kept
+        kept, before = self._kept, self._before
         cutter = [([t] if not self.apart else t.split(" ") if _SPACED.search(t) is None else _SPAN.split(t)) if t else [] for t in texts]
-        new = [*{s: None for s in chain.from_iterable(cutter) if s not in kept}]
+        fresh = set(chain.from_iterable(cutter)).difference(kept)
+        known = fresh.intersection(before)
+        kept.update((s, before[s]) for s in known)
+        new = sorted(fresh - known)
         kept.update(zip(new, self.spans(new)))
         for text, pieces in zip(texts, cutter):
             spans = [kept[p] for p in pieces]
