@@ -19,6 +19,7 @@ node; an empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,16 @@ from .common import cut, sized
 from .components import UnionFind, components
 from .shingles import U, mix, shingle_set
 
-BANDS, ROWS = 24, 6  # a pair at 0.85 is missed once in 80,000, at 0.9 once in 80 million
+ROWS = 6  # of a band
+MISSED = 1 / 80_000  # of the pairs at the threshold share no band; those above it are missed far less often
 BLOCK_ROWS, BLOCK_BYTES = 128, 4 << 20
 
 
+def bands_for(threshold: float, rows: int = ROWS, missed: float = MISSED) -> int:
+    """Bands that a pair at the threshold shares none of with at most this probability: 24 at 0.85, 38 at 0.8."""
+    return math.ceil(math.log(missed) / math.log1p(-(threshold ** rows)))
+
+
 def signature(numbers: np.ndarray, places: int) -> np.ndarray:
     """SuperMinHash of a non-empty set: per place (step << 32 | draw) of the winner."""
     n = len(numbers)
@@ -163,12 +170,14 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, k: int = 5,
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int | None = None, rows: int = ROWS, k: int = 5,
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (see the module text).
 
-    `threshold` is taken in whole percent, so that the comparison of counts is exact.
+    `threshold` is taken in whole percent, so that the comparison of counts is exact. There are as
+    many bands as it asks for (`bands_for`), if no number is given.
     """
+    bands = bands or bands_for(threshold, rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = cut(texts.mapInArrow(_marks(threshold, bands, rows, k),
                                  "doc_id long, n_shingles long, one long, two long, bands array<long>"))
