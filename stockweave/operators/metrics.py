@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import as_col, clip, count_where
 from ..functions.windows import DAY_KEY, SERIES
+from ..plans.lineage import cut
 from ..plans.quantiles import column_quantiles, exact_quantiles
 
 
@@ -77,6 +78,37 @@ def spike_recall(df: DataFrame, actual="actual", predicted="predicted", quantile
     return spikes.agg(F.coalesce(F.avg((as_col(predicted) >= F.lit(p)).cast("double")), F.lit(0.0)).alias("spike_recall"))
 
 
+def diagnostic_report(df: DataFrame, actual="actual", predicted="predicted", groups=("outlet_id", "product_id"), quantile: float = 0.9) -> DataFrame:
+    """One report as (section, item, metric, value): overall metrics, bias, high demand, spike recall, and every group's metrics.
+
+    The thresholds come from one selection, everything else from one aggregate over all rows and one per kind of group.
+    """
+    df = cut(df.select(as_col(actual).alias("a"), as_col(predicted).alias("p"), *groups))
+    (high,), (spike,) = column_quantiles(df, {"a": "a", "p": "p"}, [quantile]).values()
+    a, p = F.col("a"), F.col("p")
+
+    def named(section: str, item, measures: dict[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(section).alias("section"), item.alias("item"), F.lit(m).alias("metric"), F.col(c).cast("double").alias("value"))
+                         for m, c in measures.items()])
+
+    plain = {"count": F.count(F.lit(1)), **dict(zip(("mae", "rmse", "smape", "bias"), basic_metrics(a, p)))}
+    tops = F.when(a >= F.lit(high), F.lit(True))
+    made = {f"overall.{m}": c for m, c in plain.items()}
+    made |= {"bias.mean_bias": F.avg(p - a), "bias.overforecast_rate": F.avg((p > a).cast("double")), "bias.underforecast_rate": F.avg((p < a).cast("double")),
+             "bias.max_overforecast": F.max(p - a), "bias.max_underforecast": F.min(p - a)}
+    made |= {"high_demand.threshold": F.lit(high).cast("double"), "high_demand.count": F.count(tops), "high_demand.mae": F.avg(F.when(tops, F.abs(p - a))),
+             "high_demand.rmse": F.sqrt(F.avg(F.when(tops, (p - a) * (p - a)))), "high_demand.bias": F.avg(F.when(tops, p - a)),
+             "spikes.recall": F.coalesce(F.avg(F.when(tops, (p >= F.lit(spike)).cast("double"))), F.lit(0.0))}
+    one = df.agg(*[c.alias(name.replace(".", "__")) for name, c in made.items()])
+    rows = one.select(F.inline(F.array(*[F.struct(
+        F.lit(name.split(".")[0]).alias("section"), F.lit("").alias("item"), F.lit(name.split(".")[1]).alias("metric"),
+        F.col(name.replace(".", "__")).cast("double").alias("value")) for name in made])))
+    for group in groups:
+        each = df.groupBy(group).agg(*[c.alias(m) for m, c in plain.items()])
+        rows = rows.unionByName(each.select(F.inline(named(group, F.col(group).cast("string"), {m: m for m in plain}))))
+    return rows
+
+
 def group_diagnostics(df: DataFrame, by: str, actual="actual", predicted="predicted") -> DataFrame:
     return evaluate(df, actual, predicted, [by]).orderBy(F.desc("mae"), by)
 

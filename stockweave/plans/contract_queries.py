@@ -161,6 +161,31 @@ def _(spark, sf):
     return total.select("total", F.inline(F.array(*pairs))).withColumn("demand", F.col("total") * F.col("multiplier"))
 
 
+_VALUES = {f"lag_{k}": lag(Q, k) for k in series.LAGS} | {f"rolling_{n}_{k}": roll(Q, k, f) for k in series.WINDOWS for n, f in (("mean", "avg"), ("std", "stddev_samp"))}
+# On one day of the month each, one value is one too high, is missing, or is the day's own.
+_DAMAGE = {"lag_7": ("day(date) = 3", "{} + 1"), "rolling_mean_14": ("day(date) = 5", "NULL"), "lag_1": ("day(date) = 7", "quantity_sold"), "rolling_std_28": ("day(date) = 9", "{} * 1.01")}
+
+
+def _audited(name: str) -> str:
+    day, wrong = _DAMAGE.get(name, ("FALSE", "{}"))
+    made = f"CASE WHEN {day} THEN {wrong.format('e')} ELSE e END"
+    return (f"""SELECT '{name}' AS "check", count(*) FILTER (NOT coalesce(abs(v - e) <= 1e-8 + 1e-5 * abs(e), v IS NULL AND e IS NULL)) AS violations """
+            f"FROM (SELECT *, {made} AS v FROM (SELECT date, quantity_sold, {_VALUES[name]} AS e FROM facts) a) b")
+
+
+@query("leaked_audit_report", "check violations:i passed:b", f"""
+SELECT *, violations = 0 AS passed FROM ({" UNION ALL ".join(map(_audited, _VALUES))}
+  UNION ALL SELECT 'temporal_split', CASE WHEN max(date) FILTER (date < last - 28) < min(date) FILTER (date >= last - 28) THEN 0 ELSE 1 END
+    FROM (SELECT date, max(date) OVER () AS last FROM facts) a
+  UNION ALL SELECT 'feature_names', 1 UNION ALL SELECT 'forecast_time_names', 2) c""", "facts")
+def _(spark, sf):
+    """The audit of a feature table with damaged values, and of inputs among which are two that are known only afterwards."""
+    df = series.model_features(src.daily_facts(spark, sf))
+    for name, (day, wrong) in _DAMAGE.items():
+        df = df.withColumn(name, F.when(F.expr(day), F.expr(wrong.format(name))).otherwise(F.col(name)))
+    return leakage.leakage_audit(df, [*series.MODEL_FEATURES, "quantity_sold", "revenue"])
+
+
 # --- history, future rows, windows ---------------------------------------------------------------------------------
 
 @query("history_before", "outlet_id product_id rows:i last_day:d", """
@@ -223,6 +248,25 @@ def _(spark, sf):
     return decision_queries.flat(readers.read_report(spark, path, made.schema))
 
 
+cte("cut_short", """
+SELECT outlet_id, product_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY outlet_id, product_id ORDER BY date DESC) AS back FROM facts) a
+WHERE right(outlet_id, 1) <> '3' OR back <= 20 GROUP BY 1, 2""", "facts")
+
+
+@query("daily_short_series", "outlet_id product_id priority action recommended_order:2", """
+SELECT outlet_id, product_id, CASE WHEN days < 28 THEN 'LOW' ELSE priority END AS priority, CASE WHEN days < 28 THEN 'HISTORY_REQUIRED' ELSE action END AS action,
+  CASE WHEN days >= 28 THEN recommended_order END AS recommended_order
+FROM (SELECT outlet_id, product_id, n AS days FROM cut_short) s LEFT JOIN actions a USING (outlet_id, product_id)""", ("cut_short", "actions"))
+def _(spark, sf):
+    """The report where the series of some outlets have 20 days only: they keep their row and get no order."""
+    from pyspark.sql import Window
+
+    history = decision_queries.history(spark, sf)
+    back = F.row_number().over(Window.partitionBy("outlet_id", "product_id").orderBy(F.desc("date")))
+    short = history.withColumn("_back", back).filter("right(outlet_id, 1) <> '3' OR _back <= 20").drop("_back")
+    return daily.compact_actions(daily.daily_report(cut(short), src.outlets(spark, sf), src.products(spark, sf), include_normal=True))
+
+
 @query("daily_action_deep_page", "outlet_id product_id priority shortage:2 position:i page:i total_pages:i", f"""
 SELECT *, 3 AS page, (SELECT (count(*) + 24) // 25 FROM actions) AS total_pages
 FROM (SELECT *, row_number() OVER ({decision_queries._RANK}) AS position FROM actions) a WHERE position BETWEEN 51 AND 75""", "actions")

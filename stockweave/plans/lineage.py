@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,12 @@ _made: set[str] = set()
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in `spark.checkpoint.dir`, which every executor reaches.
 
-    Where the session names none, as in tests, it is a folder of our own in the warehouse, which
-    is shared as well.
+    Where a local session names none, as in tests, it is a folder of our own in the warehouse. A
+    cluster's warehouse may lie on the driver's disk, so there a name is needed.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
     return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stockweave-cuts"
 
 

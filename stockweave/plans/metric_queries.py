@@ -72,6 +72,26 @@ _by("outlet_diagnostics", "outlet_id")
 _by("product_diagnostics", "product_id")
 
 
+_REPORT = {
+    "overall": {"count": "count(*)", "mae": "avg(abs(e))", "rmse": "sqrt(avg(e * e))", "smape": "coalesce(avg(2 * abs(e) / nullif(abs(actual) + abs(predicted), 0)), 0) * 100", "bias": "avg(e)"},
+    "bias": {"mean_bias": "avg(e)", "overforecast_rate": "avg(CAST(e > 0 AS DOUBLE))", "underforecast_rate": "avg(CAST(e < 0 AS DOUBLE))",
+             "max_overforecast": "max(e)", "max_underforecast": "min(e)"},
+    "high_demand": {"threshold": "max(a90)", "count": "count(*) FILTER (actual >= a90)", "mae": "avg(abs(e)) FILTER (actual >= a90)",
+                    "rmse": "sqrt(avg(e * e) FILTER (actual >= a90))", "bias": "avg(e) FILTER (actual >= a90)"},
+    "spikes": {"recall": "avg(CAST(predicted >= p90 AS DOUBLE)) FILTER (actual >= a90)"},
+}
+_ROWS = """(SELECT *, predicted - actual AS e FROM predictions,
+  (SELECT quantile_cont(actual, 0.9) AS a90, quantile_cont(predicted, 0.9) AS p90 FROM predictions) q) r"""
+_PARTS = [f"SELECT '{section}' AS section, '' AS item, '{m}' AS metric, CAST({e} AS DOUBLE) AS value FROM {_ROWS}"
+          for section, measures in _REPORT.items() for m, e in measures.items()]
+_PARTS += [f"SELECT '{g}', {g}, '{m}', CAST({e} AS DOUBLE) FROM {_ROWS} GROUP BY {g}" for g in ("outlet_id", "product_id") for m, e in _REPORT["overall"].items()]
+
+
+@query("diagnostic_report", "section item metric value:6", " UNION ALL ".join(_PARTS), "predictions")
+def _(spark, sf):
+    return metrics.diagnostic_report(predictions(spark, sf))
+
+
 @query("ablation_metrics", "mae:6 rmse:6 smape:6 bias:6 high_demand_mae:6 spike_recall:6", f"""
 SELECT {METRICS_SQL}, avg(abs(predicted - actual)) FILTER (actual >= q75) AS high_demand_mae,
   avg(CAST(predicted >= q90 AS DOUBLE)) FILTER (actual >= q90) AS spike_recall
