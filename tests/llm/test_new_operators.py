@@ -292,3 +292,11 @@ def test_interval_search_equals_sorting():
 
 def test_registered():
     assert {"op11_partial_matching", "op12_shared_cuts", "op13_no_random_access"} <= set(queries.QUERIES)
+
+
+def test_bands_follow_the_threshold():
+    from stockweave.llm import minhash
+
+    assert [minhash.bands_for(t) for t in (0.8, 0.85)] == [38, 24]
+    for t in (0.5, 0.7, 0.8, 0.85, 0.9, 0.95):
+        assert (1 - t**minhash.ROWS) ** minhash.bands_for(t) <= minhash.MISSED
