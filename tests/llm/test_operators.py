@@ -552,7 +552,7 @@ def test_warc_of_odd_responses(spark, tmp_path):
 
 def test_query_columns(spark):
     made = {name: q(spark, SF) for name, q in queries.QUERIES.items() if name.startswith(("op1_", "op3_", "op4_", "op5_"))}
-    assert [n.split("_")[0] for n in queries.QUERIES] and {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert [n.split("_")[0] for n in queries.QUERIES] and {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     for name, df in made.items():
         assert df.count() > 0, name
 
