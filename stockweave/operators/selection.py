@@ -74,6 +74,11 @@ def longest_series(df: DataFrame, limit: int) -> DataFrame:
               .orderBy(F.desc("rows"), *SERIES).limit(limit))
 
 
+def long_series(df: DataFrame, minimum_rows: int) -> DataFrame:
+    """Every series with at least so many rows."""
+    return df.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= minimum_rows)
+
+
 def only_series(df: DataFrame, chosen: DataFrame) -> DataFrame:
     return df.join(chosen.select(*SERIES).distinct(), list(SERIES), "left_semi")
 

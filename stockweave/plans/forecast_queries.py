@@ -376,3 +376,11 @@ SELECT * FROM facts WHERE (outlet_id, product_id) IN (SELECT (outlet_id, product
 def _(spark, sf):
     facts = src.daily_facts(spark, sf)
     return selection.only_series(facts, selection.longest_series(facts, 24))
+
+
+@query("facts_of_long_series", "outlet_id product_id date:d quantity_sold:6", """
+SELECT * FROM facts WHERE (outlet_id, product_id) IN (SELECT (outlet_id, product_id) FROM facts GROUP BY outlet_id, product_id HAVING count(*) >= 300)""", "facts")
+def _(spark, sf):
+    """All series that are long enough, however many there are."""
+    facts = src.daily_facts(spark, sf)
+    return selection.only_series(facts, selection.long_series(facts, 300))

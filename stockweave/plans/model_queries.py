@@ -123,6 +123,61 @@ def _(spark, sf):
     return row
 
 
+# What must hold of trained results whatever the trees are, counted from the results and from the facts.
+_SERIES = "(SELECT outlet_id, product_id, count(*) AS n, max(date) AS last FROM facts GROUP BY 1, 2)"
+_SPLITS = """(SELECT *, CASE WHEN back <= 30 THEN 'test' WHEN back <= 60 THEN 'validation' ELSE 'train' END AS split
+  FROM (SELECT *, row_number() OVER (PARTITION BY outlet_id, product_id ORDER BY date) AS place, dense_rank() OVER (ORDER BY date DESC) AS back FROM facts) a)"""
+
+
+@query("trained_invariants", "check value:6", f"""
+SELECT 'rows ' || split AS "check", CAST(count(*) AS DOUBLE) AS value FROM {_SPLITS} b GROUP BY split
+UNION ALL SELECT 'missing ' || split, count(*) FILTER (place <= 28) FROM {_SPLITS} b GROUP BY split
+UNION ALL SELECT 'negative predictions', 0
+UNION ALL SELECT 'importance total', 1
+UNION ALL SELECT 'importance features', 16
+UNION ALL SELECT 'latest series', count(*) FROM {_SERIES} c WHERE n > 28
+UNION ALL SELECT 'latest on the last day', count(*) FROM {_SERIES} c WHERE n > 28
+UNION ALL SELECT 'forecast rows', 7 * count(*) FROM {_SERIES} c
+UNION ALL SELECT 'forecast missing', 7 * count(*) FROM {_SERIES} c WHERE n < 28
+UNION ALL SELECT 'forecast days off', 0
+UNION ALL SELECT 'forecast negative', 0
+UNION ALL SELECT 'text rows', count(*) FROM documents
+UNION ALL SELECT 'text axes beyond one', 0
+UNION ALL SELECT 'segment outlets', count(*) FROM performance
+UNION ALL SELECT 'segment sizes wrong', 0""", ("facts", "performance"))
+def _(spark, sf):
+    facts = cut(src.daily_facts(spark, sf).select("outlet_id", "product_id", "date", "quantity_sold"))
+    labelled = splits.last_days_split(cut(series.compact_features(facts)))
+    model = compact_model(labelled.filter("split = 'train'"))
+    scored = cut(models.predict(model, labelled))
+    latest = models.latest_predictions(scored).join(facts.groupBy("outlet_id", "product_id").agg(F.max("date").alias("_last")), ["outlet_id", "product_id"])
+    day = daily.latest_day(facts)
+    week = models.recursive_forecast(models.train(series.model_features(facts), series.MODEL_FEATURES), facts, day + timedelta(days=1), 7)
+    docs = src.table(spark, sf, "documents").select("doc_id", "text")
+    text = TextMatrix.fit(docs, "text").transform(docs, "text")
+    placed = outlets.performance_indices(demand(spark, sf))
+    found = segments.outlet_segments(placed)
+    sizes = found.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.max("cluster_size").alias("told"))
+
+    def checks(df, **counts):
+        one = df.agg(*[c.cast("double").alias(name) for name, c in counts.items()])
+        return one.select(F.inline(F.array(*[F.struct(F.lit(name.replace("_", " ")).alias("check"), F.col(name).alias("value")) for name in counts])))
+
+    rows = F.count(F.lit(1))
+    parts = scored.groupBy("split").agg(rows.cast("double").alias("rows"), F.count_if(F.col("prediction").isNull()).cast("double").alias("missing"))
+    out = parts.select(F.inline(F.array(*[F.struct(F.concat(F.lit(f"{m} "), "split").alias("check"), F.col(m).alias("value")) for m in ("rows", "missing")])))
+    for more in (
+            checks(scored, negative_predictions=F.count_if(F.col("prediction") < 0)),
+            checks(models.feature_importance(model), importance_total=F.sum("importance"), importance_features=rows),
+            checks(latest, latest_series=rows, latest_on_the_last_day=F.count_if(F.col("date") == F.col("_last"))),
+            checks(week, forecast_rows=rows, forecast_missing=F.count_if(F.col("prediction").isNull()), forecast_negative=F.count_if(F.col("prediction") < 0),
+                   forecast_days_off=F.count_if(F.date_diff("date", F.lit(day)) != F.col("horizon"))),
+            checks(text, text_rows=rows, text_axes_beyond_one=F.count_if(sum(F.col(f"text_{i}") * F.col(f"text_{i}") for i in range(4)) > 1 + 1e-6)),
+            checks(found, segment_outlets=rows), checks(sizes, segment_sizes_wrong=F.count_if(F.col("n") != F.col("told")))):
+        out = out.unionByName(more)
+    return out
+
+
 # --- segments and text ------------------------------------------------------------------------------------------
 
 @query("outlet_segments", "outlet_id cluster_id:i cluster_size:i segment_name")

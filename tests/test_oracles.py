@@ -16,7 +16,11 @@ CHOSEN = ["facts_daily", "time_features", "rolling_features", "demand_dynamics",
           "cultural_effects", "outlet_profiles", "outlet_performance", "supply_recommendations", "scenario_summary",
           "daily_actions", "autonomous_decisions", "baseline_forecasts", "model_ranking", "hybrid_evaluation",
           "probabilistic_forecast", "drift_report", "estimate_validation", "client_feed", "text_features", "client_actions",
-          "horizon_evaluation", "daily_counts_by_risk", "clean_reference", "inventory_recommendations"]
+          "horizon_evaluation", "daily_counts_by_risk", "clean_reference", "inventory_recommendations",
+          "ingest_manifest", "ingest_quarantine", "ingest_sales", "ingest_sufficiency", "gate_outcomes", "gate_violations",
+          "client_request_gate", "client_request_orders", "client_request_summary", "rolling_origin_metrics", "attached_items",
+          "diagnostic_report", "leaked_audit_report", "daily_short_series", "daily_action_deep_page", "future_features",
+          "window_features", "column_classes", "report_round_trip", "processed_dataset", "facts_of_long_series"]
 
 
 @pytest.fixture(scope="module")
