@@ -112,7 +112,7 @@ def test_partial_matching_odd_rows(odd):
     same_scores(got, scored_by_hand(rows, ppm.ORDER))
     whole = ppm.score(odd).collect()
     assert len(whole) == odd.count() and all(math.isfinite(r.score) and r.score < 0 for r in whole)
-    assert whole == ppm.score(odd).collect() or sorted(map(str, whole)) == sorted(map(str, ppm.score(odd).collect()))
+    assert sorted(map(str, whole)) == sorted(map(str, ppm.score(odd).collect()))
 
 
 def test_partial_matching_without_training(odd):
