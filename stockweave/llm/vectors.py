@@ -2,15 +2,19 @@
 
 Vectors of one label and length with equal components are one class. Each class gets, for every
 table, a code of the signs of its products with random hyperplanes; two classes meet in the
-buckets of the tables whose codes agree. A bucket is split into blocks of bounded size, and each
-pair of blocks is a task's group: one matrix product in double precision gives all cosines. A
-pair is counted in the first table that its codes agree in, so nothing is counted twice and no
-pairs are written: a block pair yields the number of links of each class, weighted by the rows of
-the other class, and the links that join two sets of its union-find. Components of those give the
-groups.
-
-With the defaults a pair at cosine 0.98 is missed once in 20,000, a closer one less often; no pair
-below the threshold is linked, since every link is verified.
+buckets of the tables whose codes agree. The bits of a code follow the counted classes of the
+label, so that a bucket holds about a quarter of an unrelated class whatever the table's size, and
+the number of tables follows the bits, so that a pair at the threshold is missed at most once in
+1 / `miss`: pair work and tables grow by a small power of the classes, not with their square.
+
+Buckets are counted on keys alone. A class takes the tables in which it has company, its vector is
+looked up once, and only those (class, table) rows carry it on. A bucket is split into blocks of
+bounded size, and each pair of blocks is a task's group: one matrix product in double precision
+gives all cosines. A pair is counted in the first table that its codes agree in, so nothing is
+counted twice and no pairs are written: a block pair yields the number of links of each class,
+weighted by the rows of the other class, and the links that join two sets of its union-find.
+Components of those give the groups. No pair below the threshold is linked, since every link is
+verified.
 
 Defined results: a vector that is null, empty, all zero or holds a null or non-finite component,
 and any vector without a label, links with nothing and is its own group; so does a null vec_id,
@@ -20,6 +24,7 @@ rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +35,19 @@ from pyspark.sql import functions as F
 from .common import cut, sized
 from .components import UnionFind, components
 
-TABLES, BITS = 16, 12
+SPARE_BITS = 2  # bits of a code beyond those that number the classes of a label
+MISS = 5e-5
 BLOCK_ROWS = 512
 
 
+def table_count(bits: int, threshold: float, miss: float) -> int:
+    """Tables after which a pair at the threshold has met in none with probability `miss` at most."""
+    agree = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
+    return 1 if agree >= 1 else max(1, math.ceil(math.log(miss) / math.log1p(-agree)))
+
+
 def planes(length: int, tables: int, bits: int, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng([seed, length]).standard_normal((length, tables * bits))
+    return np.random.default_rng([seed, length, bits]).standard_normal((length, tables * bits))
 
 
 def codes(matrix: np.ndarray, tables: int, bits: int) -> np.ndarray:
@@ -43,20 +55,21 @@ def codes(matrix: np.ndarray, tables: int, bits: int) -> np.ndarray:
     return signs.reshape(len(matrix), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def _coded(tables: int, bits: int):
+def _coded(threshold: float, miss: float):
+    kept = ("class", "label", "node", "rows", "vector")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column("vector").to_pylist()
             out: list = [None] * len(vectors)
-            by_length: dict[int, list[int]] = {}
-            for i, v in enumerate(vectors):
-                by_length.setdefault(len(v), []).append(i)
-            for at in by_length.values():
+            alike: dict[tuple[int, int], list[int]] = {}
+            for i, (v, bits) in enumerate(zip(vectors, batch.column("bits").to_pylist())):
+                alike.setdefault((len(v), bits), []).append(i)
+            for (_, bits), at in alike.items():
+                tables = table_count(bits, threshold, miss)
                 for i, c in zip(at, codes(np.array([vectors[i] for i in at], float), tables, bits).tolist()):
                     out[i] = c
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("label", "node", "rows", "vector")] + [pa.array(out, pa.list_(pa.int32()))],
-                names=["label", "node", "rows", "vector", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(out, pa.list_(pa.int64()))], names=[*kept, "codes"])
 
     return run
 
@@ -116,7 +129,7 @@ def _linked(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = TABLES, bits: int = BITS,
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = MISS, spare_bits: int = SPARE_BITS,
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept (see the module text)."""
     raw = F.col("embedding").cast("array<double>")
@@ -127,13 +140,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = T
     # Adding zero makes -0.0 equal to 0.0.
     good = rows.filter(F.coalesce(fit, F.lit(False))).withColumn("vector", F.transform("vector", lambda v: v + F.lit(0.0)))
     classes = good.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("rows"))
-    coded = cut(classes.mapInArrow(_coded(tables, bits), "label string, node long, rows long, vector array<double>, codes array<int>"))
+    classes = cut(classes.select(F.xxhash64("label", "vector").alias("class"), "label", F.size("vector").alias("length"), "node", "rows", "vector"))
+    # 62 bits and a sign are what a code can hold; they number more classes than there are.
+    bits = F.least(F.ceil(F.log2(F.count(F.lit(1)).cast("double"))).cast("int") + spare_bits, F.lit(62))
+    widths = sized(cut(classes.groupBy("label", "length").agg(bits.alias("bits"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")))
+    coded = cut(classes.join(widths, ["label", "length"]).mapInArrow(
+        _coded(threshold, miss), "class long, label string, node long, rows long, vector array<double>, codes array<long>"))
 
-    at = coded.select("label", F.size("vector").alias("length"), F.posexplode("codes").alias("table", "code"), "node", "rows", "vector", "codes")
     keys = ["label", "length", "table", "code"]
-    sizes = coded.select("label", F.size("vector").alias("length"), F.posexplode("codes").alias("table", "code")).groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("parts"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    blocked = at.join(sized(cut(sizes.drop("members"))), keys).withColumn("block", F.pmod(F.xxhash64("node"), "parts"))
+    at = coded.select("class", "node", "label", F.size("vector").alias("length"), F.posexplode("codes").alias("table", "code"))
+    sizes = at.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("parts"), F.count(F.lit(1)).alias("members"))
+    sizes = sized(cut(sizes.filter("members > 1").drop("members")))
+    shared = at.join(sizes, keys).groupBy("class", "node").agg(F.collect_list(F.struct("table", "code", "parts")).alias("tables"))
+    placed = coded.join(shared, ["class", "node"]).select(
+        "label", F.size("vector").alias("length"), F.explode("tables").alias("at"), "node", "rows", "vector", "codes").select(
+        "label", "length", "at.table", "at.code", "at.parts", "node", "rows", "vector", "codes")
+    blocked = placed.withColumn("block", F.pmod(F.xxhash64("node"), "parts"))
     paired = blocked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")).select(
         *keys, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "rows", "vector", "codes")
     group = [*keys, "low", "high"]
@@ -141,7 +163,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = T
     counted = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     joined = components(found.filter("b is not null"), "a", "b")
 
-    per_class = coded.select("label", "vector", "node", "rows").join(counted, "node", "left").join(joined, "node", "left").select(
+    per_class = classes.select("label", "vector", "node", "rows").join(counted, "node", "left").join(joined, "node", "left").select(
         "label", "vector", (F.coalesce("others", F.lit(0).cast("long")) + F.col("rows") - 1).alias("links"),
         F.coalesce("component", "node").alias("group"))
     keyed = rows.withColumn("vector", F.when(F.coalesce(fit, F.lit(False)), F.transform("vector", lambda v: v + F.lit(0.0))))

@@ -443,6 +443,24 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_tables_follow_the_bits():
+    for bits in (1, 8, 14, 24, 40):
+        n = vectors.table_count(bits, 0.98, vectors.MISS)
+        met = (1 - np.arccos(0.98) / np.pi) ** bits
+        assert (1 - met) ** n <= vectors.MISS < (1 - met) ** (n - 1 if n > 1 else 0)
+    assert vectors.table_count(20, 1.0, vectors.MISS) == 1
+    assert vectors.table_count(24, 0.98, vectors.MISS) < 5 * vectors.table_count(8, 0.98, vectors.MISS)
+
+
+def test_buckets_hold_few_strangers_at_any_size():
+    rng = np.random.default_rng(4)
+    for n in (500, 4000):
+        bits = int(np.ceil(np.log2(n))) + vectors.SPARE_BITS
+        got = vectors.codes(rng.standard_normal((n, 32)), 4, bits)
+        pairs = [sum(c * (c - 1) / 2 for c in Counter(column.tolist()).values()) for column in got.T]
+        assert max(pairs) < n / 2  # of n * (n - 1) / 2
+
+
 # --- 8: language -----------------------------------------------------------------------------------------------
 
 
