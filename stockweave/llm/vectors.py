@@ -3,7 +3,7 @@
 Vectors of one label and length with equal components are one class. Each class gets, for every
 table, a code of the signs of its products with random hyperplanes; two classes meet in the
 buckets of the tables whose codes agree. The bits of a code follow the counted classes of the
-label, so that a bucket holds about a quarter of an unrelated class whatever the table's size, and
+label, so that a class meets an unrelated one in about one table of 64 whatever their number, and
 the number of tables follows the bits, so that a pair at the threshold is missed at most once in
 1 / `miss`: pair work and tables grow by a small power of the classes, not with their square.
 
@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 from .common import cut, sized
 from .components import UnionFind, components
 
-SPARE_BITS = 2  # bits of a code beyond those that number the classes of a label
+SPARE_BITS = 6  # bits of a code beyond those that number the classes of a label
 MISS = 5e-5
 BLOCK_ROWS = 512
+WRITTEN = 10_000  # result rows of a batch
 
 
 def table_count(bits: int, threshold: float, miss: float) -> int:
@@ -84,25 +85,32 @@ def _linked(threshold: float):
         b /= np.linalg.norm(b, axis=1, keepdims=True)
         close = a @ b.T >= threshold
         i, j = np.nonzero(np.triu(close, 1) if same else close)
-        first = ~(x[i, :table] == y[j, :table]).any(axis=1)
+        first = np.ones(len(i), bool)
+        for t in range(table):  # one table at a time, so that memory does not grow with their number
+            first &= x[i, t] != y[j, t]
         return i[first], j[first]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups():
             key, held = None, []
             for batch in batches:
-                cols = [batch.column(c) for c in ("label", "length", "table", "code", "low", "high", "block", "node", "rows", "vector", "codes")]
-                for i in range(batch.num_rows):
-                    now = tuple(c[i].as_py() for c in cols[:6])
+                keys, members = ([batch.column(c).to_pylist() for c in names] for names in (
+                    ("label", "length", "table", "code", "low", "high"), ("block", "node", "rows")))
+                lists = [(c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in (batch.column("vector"), batch.column("codes"))]
+                for i, (now, own) in enumerate(zip(zip(*keys), zip(*members))):
                     if now != key:
                         if held:
                             yield key, held
                         key, held = now, []
-                    held.append((cols[6][i].as_py(), cols[7][i].as_py(), cols[8][i].as_py(),
-                                 cols[9][i].values.to_numpy(zero_copy_only=False), cols[10][i].values.to_numpy(zero_copy_only=False)))
+                    held.append((*own, *[values[at[i]:at[i + 1]] for values, at in lists]))
             if held:
                 yield key, held
 
+        found: list[tuple] = []
+
+        def written() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b", "n"])
+
         for key, held in groups():
             if len(held) < 2:
                 continue
@@ -118,13 +126,17 @@ def _linked(threshold: float):
             count_l, count_r = np.bincount(i, rows_r[j], len(left)), np.bincount(j, rows_l[i], len(right))
             if left is right:
                 count_l, count_r = count_l + count_r, np.zeros(0)
-            found = [(left[k][1], None, int(n)) for k, n in enumerate(count_l) if n]
+            found += [(left[k][1], None, int(n)) for k, n in enumerate(count_l) if n]
             found += [(right[k][1], None, int(n)) for k, n in enumerate(count_r) if n]
             joined = UnionFind()
             for a, b in zip(i.tolist(), j.tolist()):
                 if joined.union(left[a][1], right[b][1]):
                     found.append((left[a][1], right[b][1], 0))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b", "n"])
+            if len(found) >= WRITTEN:
+                yield written()
+                found.clear()
+        if found:
+            yield written()
 
     return run
 
