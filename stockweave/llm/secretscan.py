@@ -1,10 +1,20 @@
 """Secret scan: fixed patterns and a battery of randomness tests, with built-in functions only.
 
 Three kinds follow fixed patterns (`assign`, `access`, `hex`). A fourth, `random`, takes runs of
-token characters that no other span touches, infers their encoding (hex, base 32 or base 64, by
-the characters they hold), and asks whether they look drawn at random from its alphabet: a
-chi-squared test of uniformity, a runs test of lower and upper half, and a test of the serial
-correlation of neighbours. Fisher's method combines the three into one p-value.
+token characters that no other span touches, infers their encoding (hex in one case or in both,
+base 32, 36, 62 or 64, by the characters they hold), and asks whether they look drawn at random
+from its alphabet: a chi-squared test of uniformity, a runs test of lower and upper half, and a
+test of the serial correlation of neighbours. Fisher's method combines the three into one p-value.
+
+A key may stand beside words: `/`, `-` and `_` are digits of base 64 and separators as well. So
+the runs between slashes, between dashes and underscores, and between all of these are candidates
+besides the whole one, and a run that lies in another one found to be random is not reported.
+Hex digits of both cases are read as 22 letters and as 16 in one case, and the better one counts.
+
+The chi-squared statistic has the exact variance of a multinomial draw, whatever the expected
+count of a cell, and the tail of a gamma distribution with that mean and variance by Wilson and
+Hilferty's cube root; normal tails come from a logistic curve whose error is at most 0.00015. The
+tests state what share of random runs has a p-value below 0.05, by alphabet and length.
 
 Ordinary text written with the same characters has tiny p-values. Which are too small is settled
 over the whole table: the procedure of Benjamini and Hochberg, for every class of length by
@@ -32,12 +42,15 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 KINDS = ("assign", "access", "hex", "random")
 ALPHABETS = {
     "hex": "0123456789abcdef",
+    "hex22": "0123456789abcdefABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
-SHORTEST = 24
-RUN = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}"
-CLASSES = (24, 32, 48, 96)  # least lengths
+SHORTEST = 20
+RUNS = [rf"[{letters}]{{{SHORTEST},}}" for letters in ("A-Za-z0-9+/_-", "A-Za-z0-9+_-", "A-Za-z0-9+/", "A-Za-z0-9")]
+CLASSES = (20, 24, 32, 48, 96)  # least lengths
 BINS, STEP = 400, 0.125  # of -ln p
 
 
@@ -71,9 +84,13 @@ def encoding(run: Column) -> Column:
     """Name of the smallest alphabet that holds the run, if it has the kinds of characters that a random run of its length has."""
     has = lambda p: run.rlike(p)
     mixed = has("[0-9]") & has("[A-Za-z]")
+    both = has("[a-z]") & has("[A-Z]")
     return (F.when(mixed & (has("^[0-9a-f]+$") | has("^[0-9A-F]+$")), "hex")
+            .when(mixed & has("^[0-9A-Fa-f]+$"), "hex22")
             .when(mixed & has("^[A-Z2-7]+$"), "base32")
-            .when(mixed & has("[a-z]") & has("[A-Z]") & ~(has("[+/]") & has("[_-]")), "base64"))
+            .when(mixed & (has("^[0-9a-z]+$") | has("^[0-9A-Z]+$")), "base36")
+            .when(mixed & both & has("^[0-9A-Za-z]+$"), "base62")
+            .when(mixed & both & ~(has("[+/]") & has("[_-]")), "base64"))
 
 
 def _named(value: Column, use) -> Column:
@@ -103,7 +120,8 @@ def _tested(x: Column, size: Column) -> Column:
 
     def combined(f: Column) -> Column:
         n = f["n"]
-        uniform = _tail((f["chi"] - (size - 1)) / F.sqrt(2.0 * (size - 1) * (n - 1) / n))
+        shape = (size - 1) * n / (2.0 * (n - 1))  # of the gamma distribution with the statistic's mean and variance
+        uniform = _tail((F.cbrt(f["chi"] / (size - 1)) - 1 + 1 / (9 * shape)) * 3 * F.sqrt(shape))
         deviation = F.sqrt(F.greatest((f["mean"] - 1) * (f["mean"] - 2) / (n - 1), F.lit(1e-9)))
         ordered = F.when(f["mean"] <= 1, F.lit(1e-9)).otherwise(2 * _tail(F.abs(f["runs"] - f["mean"]) / deviation))
         serial = F.when(f["spread"] == 0, F.lit(1e-9)).otherwise(2 * _tail(F.abs(f["moved"] / f["spread"] + 1 / n) * F.sqrt(n)))
@@ -117,17 +135,18 @@ def battery(run: Column) -> Column:
     """The combined p-value of the run under a uniform draw from its encoding's alphabet; null without an encoding."""
     def spelled(kind: Column) -> Column:
         alphabet = F.lit(None).cast("string")
-        for name, letters in ALPHABETS.items():
-            alphabet = F.when(kind == name, letters).otherwise(alphabet)
-        plain = F.when(kind == "hex", F.lower(run)).otherwise(F.translate(run, "-_", "+/"))
-        return F.struct(F.split(plain, "").alias("letters"), alphabet.alias("alphabet"))
+        for name, own in ALPHABETS.items():
+            alphabet = F.when(kind == name, own).otherwise(alphabet)
+        plain = (F.when(kind.isin("hex", "base36"), F.lower(run)).when(kind == "base64", F.translate(run, "-_", "+/")).otherwise(run))
+        reading = lambda text, alphabet: F.struct(F.split(text, "").alias("letters"), alphabet.alias("alphabet"))
+        first = reading(plain, alphabet)
+        return F.when(kind == "hex22", F.array(first, reading(F.lower(run), F.lit(ALPHABETS["hex"])))).when(kind.isNotNull(), F.array(first))
 
     def tested(f: Column) -> Column:
         codes = F.transform(f["letters"], lambda c: (F.instr(f["alphabet"], c) - 1).cast("double"))
-        size = F.length(f["alphabet"])
-        return F.when(f["alphabet"].isNotNull(), _named(codes, lambda x: _tested(x, size)))
+        return _named(codes, lambda x: _tested(x, F.length(f["alphabet"])))
 
-    return _named(encoding(run), lambda kind: _named(spelled(kind), tested))
+    return F.array_max(F.transform(_named(encoding(run), spelled), tested))
 
 
 def length_class(length: Column) -> Column:
@@ -138,9 +157,15 @@ def length_class(length: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Runs with an encoding, as structs start, end, value."""
-    runs = _guarded(text.rlike(rf"[A-Za-z0-9+/_-]{{{SHORTEST}}}"), located(text, RUN))
-    return F.filter(runs, lambda s: encoding(s["value"]).isNotNull())
+    """Runs with an encoding, as structs start, end, value; some lie in others."""
+    found = F.array_distinct(F.concat(*[located(text, run) for run in RUNS]))
+    return F.filter(_guarded(text.rlike(RUNS[0]), found), lambda s: encoding(s["value"]).isNotNull())
+
+
+def outermost(spans: Column) -> Column:
+    """The spans that lie in no other one."""
+    return F.filter(spans, lambda s: ~F.exists(spans, lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (
+        (o["start"] < s["start"]) | (s["end"] < o["end"]))))
 
 
 def limits(docs: DataFrame, rate: float = 0.05) -> dict[int, float]:
@@ -149,7 +174,7 @@ def limits(docs: DataFrame, rate: float = 0.05) -> dict[int, float]:
     tested = runs.select(F.xxhash64("value").alias("h"), length_class(F.length("value")).alias("class"), battery(F.col("value")).alias("p"))
     each = tested.groupBy("h", "class").agg(F.first("p").alias("p"))
     place = F.least(F.floor(-F.log(F.greatest("p", F.lit(1e-300))) / STEP), F.lit(BINS)).cast("int")
-    counted = each.groupBy("class", place.alias("bin")).count().collect()  # at most 4 * 401 rows
+    counted = each.groupBy("class", place.alias("bin")).count().collect()  # at most 5 * 401 rows
     out: dict[int, float] = {}
     for k in range(len(CLASSES)):
         bins = {r["bin"]: r["count"] for r in counted if r["class"] == k}
@@ -175,6 +200,7 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     apart = F.filter("_random", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     rows = rows.withColumn("_random", apart)
     rows = rows.withColumn("_random", F.filter("_random", lambda s: battery(s["value"]) > _limit_of(s["value"], found)))
+    rows = rows.withColumn("_random", outermost(F.col("_random")))
     numbered = [_numbered(f"_{kind}", k) for k, kind in enumerate(KINDS)]
     names = F.array(*[F.lit(k) for k in KINDS])
     spans = F.transform(F.array_sort(F.concat(*numbered)), lambda s: F.struct(

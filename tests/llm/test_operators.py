@@ -3,6 +3,7 @@
 import hashlib
 import html
 import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -514,7 +515,7 @@ def test_base_spans_equal_regular_expressions(spark, texts):
 
 def test_battery_tells_random_runs_from_written_ones(spark):
     rng = np.random.default_rng(2)
-    letters = np.array(list(secretscan.ALPHABETS["base64"][:62]))
+    letters = np.array(list(secretscan.ALPHABETS["base62"]))
     rows = [(i, "key " + "".join(rng.choice(letters, 40)) + " end") for i in range(200)]
     written = ["HelloWorld2HelloWorld2HelloWorld2", "aaaaBBBB1111aaaaBBBB1111aaaaBBBB1111", "path/To/Some/Index/File1/path/To/Some/Index/File1"]
     rows += [(1000 + i, w) for i, w in enumerate(written)]
@@ -523,6 +524,62 @@ def test_battery_tells_random_runs_from_written_ones(spark):
     assert all(got[1000 + i] == [] for i in range(len(written)))
 
 
+def brute_p(run, alphabet):
+    """The battery written with numpy."""
+    x, k, n = np.array([alphabet.index(c) for c in run], float), len(alphabet), len(run)
+    tail = lambda z: 1 / (1 + math.exp(1.5976 * (z := min(max(z, -8), 8)) + 0.07056 * z**3))
+    chi, shape = sum(c * c for c in Counter(run).values()) * k / n - n, (k - 1) * n / (2 * (n - 1))
+    uniform = tail(((chi / (k - 1)) ** (1 / 3) - 1 + 1 / (9 * shape)) * 3 * shape**0.5)
+    high = x >= k / 2
+    mean = 2 * high.sum() * (n - high.sum()) / n + 1
+    runs = 1 + (high[1:] != high[:-1]).sum()
+    ordered = 1e-9 if mean <= 1 else 2 * tail(abs(runs - mean) / max((mean - 1) * (mean - 2) / (n - 1), 1e-9) ** 0.5)
+    d = x - x.mean()
+    serial = 1e-9 if not d.any() else 2 * tail(abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * n**0.5)
+    h = -sum(math.log(min(max(p, 1e-12), 1)) for p in (uniform, ordered, serial))
+    return math.exp(-h) * (1 + h + h * h / 2)
+
+
+def drawn(rng, name, size):
+    if name == "hex22":
+        return "".join(c.upper() if rng.random() < 0.5 else c for c in rng.choice(list(secretscan.ALPHABETS["hex"]), size))
+    return "".join(rng.choice(list(secretscan.ALPHABETS[name]), size))
+
+
+def test_battery_by_alphabet_and_length(spark):
+    rng = np.random.default_rng(6)
+    made = [(name, size, drawn(rng, name, size)) for name in secretscan.ALPHABETS for size in (20, 24, 32, 64) for _ in range(100)]
+    frame = spark.createDataFrame(made, "name string, size int, run string")
+    got = frame.select("*", secretscan.encoding(F.col("run")).alias("kind"), secretscan.battery(F.col("run")).alias("p")).collect()
+    for r in got:
+        if r.kind:
+            plain = r.run.translate(str.maketrans("-_", "+/"))
+            readings = [(r.run.lower(), "hex"), (r.run, "hex22")] if r.kind == "hex22" else [(plain.lower() if r.kind in ("hex", "base36") else plain, r.kind)]
+            assert r.p == pytest.approx(max(brute_p(t, secretscan.ALPHABETS[k]) for t, k in readings), rel=1e-9)
+    for name, size in itertools.product(secretscan.ALPHABETS, (20, 24, 32, 64)):
+        own = [r for r in got if (r.name, r.size) == (name, size)]
+        assert sum(r.kind is not None for r in own) >= 88  # short ones may lack a digit or a case
+        assert sum(r.kind is not None and r.p < 0.05 for r in own) <= 15
+
+
+def test_random_runs_of_every_alphabet_are_found(spark):
+    rng = np.random.default_rng(8)
+    made = [(name, size, drawn(rng, name, size)) for name in secretscan.ALPHABETS for size in (20, 24, 32, 48) for _ in range(40)]
+    around = ["see https://host.example/some/path/{}?x", "id-of_{}, then", "{}"]
+    rows = [(i, around[i % 3].format(run)) for i, (_, _, run) in enumerate(made)]
+    texts = {i: t for i, t in rows}
+    found = secretscan.scan(spark.createDataFrame([*rows, (-1, "a/b " * 50_000 + made[-1][2])], "doc_id long, text string"))
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in found.collect()}
+    for name, size in itertools.product(secretscan.ALPHABETS, (20, 24, 32, 48)):
+        at = [i for i, m in enumerate(made) if m[:2] == (name, size)]
+        hit = 0
+        for i in at:
+            a = texts[i].index(made[i][2])
+            hit += any(s <= a and a + size <= e for _, s, e in got[i])
+        assert hit >= 0.8 * len(at), (name, size, hit)
+    assert got[-1] and got[-1][0][1] >= 200_000
+
+
 def test_redacting(spark, odd):
     frame = spark.createDataFrame([(1, 'ä token = "' + "0a" * 20 + '" é', 1), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in secretscan.redact(frame).collect()}
