@@ -1,66 +1,113 @@
-"""TF-IDF of one- and two-word terms, reduced to a few dimensions."""
+"""TF-IDF of one- and two-word terms, reduced to a few dimensions by a randomised range finder.
+
+Terms are hashed into 2^18 slots and stay sparse: a row per text and slot. The leading directions
+come from subspace iteration: random signs for every slot, then in turn places of texts (a sum
+over their slots) and places of slots (a sum over their texts), made orthonormal after each turn.
+Only Gram matrices of `dimensions` + `extra` columns reach the driver. The place of a slot is a
+row, so what is broadcast is bounded by the slots and does not grow with the texts.
+
+Equal texts are one row with a count. Texts are known by a 64-bit hash. A text without terms, and
+every text if the training texts have none, lies at 0; so do directions beyond the matrix's rank.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDF, HashingTF, IDFModel, NGram
-from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+import numpy as np
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .text_features import tokenize
 
-SLOTS = 256  # terms are hashed, so none is left out; terms that share a slot are added up
+SLOTS = 1 << 18  # terms that share a slot are added up
 DIMENSIONS = 4
+EXTRA, TURNS = 4, 3  # further directions that are followed, and turns of the iteration
 
 
-def _terms(df: DataFrame, text: str) -> DataFrame:
-    df = df.withColumn("_words", tokenize(text))
+def _counts(df: DataFrame, text: str, slots: int) -> DataFrame:
+    """A row per different text and slot: key, rows, slot, times."""
+    df = df.select(F.xxhash64(text).alias("key"), tokenize(text).alias("_words"))
     df = NGram(n=2, inputCol="_words", outputCol="_pairs").transform(df)
-    return df.withColumn("_terms", F.concat("_words", "_pairs")).drop("_words", "_pairs")
+    at = F.transform(F.concat("_words", "_pairs"), lambda t: F.pmod(F.xxhash64(t), F.lit(slots)).cast("int"))
+    one = df.groupBy("key").agg(F.first(at).alias("at"), F.count(F.lit(1)).alias("rows"))
+    return one.select("key", "rows", F.explode("at").alias("slot")).groupBy("key", "rows", "slot").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _weight() -> Column:
+    return (1.0 + F.log("times")) * F.col("idf")
+
+
+def _gram(df: DataFrame, values: str, size: int, rows: Column) -> np.ndarray:
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    sums = df.agg(*[F.sum(rows * F.get(values, F.lit(i)) * F.get(values, F.lit(j))) for i, j in pairs]).first()
+    out = np.zeros((size, size))
+    for (i, j), v in zip(pairs, sums):
+        out[i, j] = out[j, i] = v or 0.0
+    return out
+
+
+def _times(values: str, matrix: np.ndarray) -> Column:
+    """The array column times a small matrix."""
+    return F.array(*[sum((F.get(values, F.lit(i)) * float(x) for i, x in enumerate(column)), F.lit(0.0)) for column in matrix.T])
+
+
+def _orthonormal(places: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Slots' places (slot, z) with orthonormal columns; columns without length go."""
+    lengths, turned = np.linalg.eigh(_gram(places, "z", size, F.lit(1.0)))
+    live = lengths > 1e-12 * max(lengths.max(), 1e-300)
+    return cut(places.select("slot", _times("z", turned[:, live] / np.sqrt(lengths[live])).alias("z"))), int(live.sum())
+
+
+def _summed(df: DataFrame, key: list[str], values: str, size: int, factor: Column, name: str) -> DataFrame:
+    sums = df.groupBy(*key).agg(*[F.sum(factor * F.get(values, F.lit(i))).alias(f"_{i}") for i in range(size)])
+    return sums.select(*key, F.array(*[f"_{i}" for i in range(size)]).alias(name))
 
 
 class TextMatrix:
-    """Fitted on training texts only; the slots of the terms and the projection are small."""
+    """Fitted on training texts only: `places` has slot, idf and axis, `captured` the share of the squared length on each axis."""
 
-    def __init__(self, counts: HashingTF | None, idf: IDFModel | None, axes: list[list[float]]):
-        self.counts, self.idf, self.axes = counts, idf, axes
+    def __init__(self, places: DataFrame | None, captured: list[float], slots: int, dimensions: int):
+        self.places, self.captured, self.slots, self.dimensions = places, captured, slots, dimensions
 
     @staticmethod
-    def fit(train: DataFrame, text: str, slots: int = SLOTS, dimensions: int = DIMENSIONS) -> "TextMatrix":
-        rows = cut(_terms(train, text).select("_terms"))
-        if rows.filter(F.size("_terms") > 0).isEmpty():
-            return TextMatrix(None, None, [])
-        counts = HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=slots)
-        counted = counts.transform(rows)
-        idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted)
-        fitted = TextMatrix(counts, idf, [])
-        vectors = fitted._weighted(counted).select(F.col("_weights").alias("v"))
-        from pyspark.ml.functions import array_to_vector
-        old = MLUtils.convertVectorColumnsFromML(vectors.select(array_to_vector("v").alias("v")), "v")
-        v = RowMatrix(old).computeSVD(min(dimensions, slots), computeU=False).V.toArray()
-        fitted.axes = [[float(v[i][d]) for i in range(slots)] for d in range(v.shape[1])]
-        return fitted
-
-    def _weighted(self, counted: DataFrame) -> DataFrame:
-        """Sublinear term weight times idf, scaled to length 1."""
-        idf = F.array(*[F.lit(float(x)) for x in self.idf.idf.toArray()])
-        raw = F.zip_with(vector_to_array("_tf"), idf, lambda t, w: F.when(t > 0, (1.0 + F.log(t)) * w).otherwise(0.0))
-        df = counted.withColumn("_raw", raw)
-        norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x * x))
-        # The norm is bound to a variable: written into the inner function it would be computed for every slot.
-        scaled = F.transform(F.array(norm), lambda n: F.transform("_raw", lambda x: F.when(n > 0, x / n).otherwise(0.0)))
-        return df.withColumn("_weights", F.get(scaled, 0)).drop("_raw")
+    def fit(train: DataFrame, text: str, slots: int = SLOTS, dimensions: int = DIMENSIONS, extra: int = EXTRA, turns: int = TURNS) -> "TextMatrix":
+        counts = cut(_counts(train, text, slots))
+        n = counts.select("key", "rows").distinct().agg(F.sum("rows")).first()[0]
+        if not n:
+            return TextMatrix(None, [], slots, dimensions)
+        idf = cut(counts.groupBy("slot").agg(F.log(F.lit(n + 1.0) / (F.sum("rows") + 1)).alias("idf")))
+        raw = counts.join(F.broadcast(idf), "slot").withColumn("raw", _weight())
+        norms = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")).filter("norm > 0")
+        entries = cut(raw.join(norms, "key").select("key", "rows", "slot", (F.col("raw") / F.col("norm")).alias("w")))
+        total = entries.agg(F.sum(F.col("rows") * F.col("w") * F.col("w"))).first()[0]
+        if not total:
+            return TextMatrix(None, [], slots, dimensions)
+        size = dimensions + extra
+        sign = [F.when(F.shiftright(F.xxhash64(F.lit(17), "slot"), i).bitwiseAND(1) == 1, 1.0).otherwise(-1.0) for i in range(size)]
+        places, size = _orthonormal(idf.select("slot", F.array(*sign).alias("z")), size)
+        for turn in range(turns + 1):
+            texts = _summed(entries.join(F.broadcast(places), "slot"), ["key", "rows"], "z", size, F.col("w"), "y")
+            if turn < turns:
+                found = entries.join(texts.drop("rows"), "key")
+                places, size = _orthonormal(_summed(found, ["slot"], "y", size, F.col("rows") * F.col("w"), "z"), size)
+        strength, turned = np.linalg.eigh(_gram(texts, "y", size, F.col("rows")))
+        kept = np.argsort(-strength)[:dimensions]
+        axes = cut(places.select("slot", _times("z", turned[:, kept]).alias("axis")))
+        # An axis points to where its longest component is positive.
+        longest = [F.max_by(F.get("axis", F.lit(i)), F.struct(F.round(F.abs(F.get("axis", F.lit(i))), 9), "slot")) for i in range(len(kept))]
+        signs = np.diag([1.0 if v > 0 else -1.0 for v in axes.agg(*longest).first()])
+        found = idf.join(axes, "slot", "left").select("slot", "idf", _times("axis", signs).alias("axis"))
+        return TextMatrix(cut(found), [float(s) / total for s in strength[kept]], slots, dimensions)
 
     def transform(self, df: DataFrame, text: str, prefix: str = "text_") -> DataFrame:
-        if self.counts is None:
-            return df.withColumns({f"{prefix}{d}": F.lit(0.0) for d in range(DIMENSIONS)})
-        weighted = self._weighted(self.counts.transform(_terms(df, text)))
-
-        def position(axis: list[float]) -> Column:
-            along = F.array(*[F.lit(x) for x in axis])
-            return F.aggregate(F.zip_with("_weights", along, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-
-        return weighted.withColumns({f"{prefix}{d}": position(axis) for d, axis in enumerate(self.axes)}).drop("_terms", "_tf", "_weights")
+        names = [f"{prefix}{d}" for d in range(self.dimensions)]
+        if self.places is None:
+            return df.withColumns({name: F.lit(0.0) for name in names})
+        # A slot that no training text has carries no weight, as it has no place.
+        raw = _counts(df, text, self.slots).join(F.broadcast(self.places), "slot").withColumn("raw", _weight())
+        norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")))
+        along = [F.coalesce(F.sum(F.col("raw") * F.get("axis", F.lit(d))), F.lit(0.0)) for d in range(self.dimensions)]
+        placed = raw.groupBy("key").agg(*[F.when(norm > 0, a / norm).otherwise(0.0).alias(name) for a, name in zip(along, names)])
+        out = df.withColumn("_key", F.xxhash64(text)).join(placed.withColumnRenamed("key", "_key"), "_key", "left")
+        return out.select(*df.columns, *[F.coalesce(F.col(name), F.lit(0.0)).alias(name) for name in names])
