@@ -4,12 +4,13 @@ A partition's documents, in their order, form one stream of token ids. Cuts may
 document (free), after a sentence, or anywhere (dearer). For cut points t_0 < t_1 < ... the cost
 of ending a sequence at t_j that began at t_i is its padding plus the price of cutting at t_j:
 
-    F[j] = price[j] + min over m >= 0 and i of  F[i] + m * inside + (m + 1) * length - (t_j - t_i)
+    F[j] = price[j] + min over i of  F[i] + m * inside + (m + 1) * length - (t_j - t_i)
 
-where m full sequences, cut inside sentences, come first and the last one is padded. For each m
-the admissible i lie in a window that moves with j, and F[i] + t_i is what is minimised there, so
-a monotone queue gives every transition in constant time. Sentences longer than a sequence get
-cut points of their own at the dear price. The stream is packed in chunks; what follows a chunk's
+where m = (t_j - t_i - 1) div length full sequences, cut inside sentences, come first and the last
+one is padded. Every sentence end is a cut point and m has no bound, so this is the cheapest of all
+ways to cut: what lies between two points is best cut in full sequences. m depends on t_i div length
+and on which of t_i and t_j - 1 comes first modulo length only, so the best i is looked up in two
+staircases over the remainders, which hold at most `length` points. The stream is packed in chunks; what follows a chunk's
 last full sequence is carried into the next one, so only a partition's end is padded: there, the
 rest is split into sequences whose lengths are powers of two, which need no padding, where that
 is cheaper.
@@ -25,7 +26,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,62 +39,53 @@ from .tokens import encoder
 
 LENGTH = 1024
 SENTENCE, INSIDE = 1.0, 6.0  # prices of a cut, in tokens of padding
-FULL = 5  # most full sequences in a row between two cut points
-GRID = 96  # of the sentence ends within so many tokens, the first is a cut point
 CHUNK = 1 << 18
 
 
-def cut_points(points: np.ndarray, prices: np.ndarray, length: int = LENGTH, inside: float = INSIDE, full: int = FULL) -> list[int]:
-    """Ends of the cheapest sequences over the points (ascending, from 0); the last point is the end of the last one."""
-    t, price = points.tolist(), prices.tolist()
-    n = len(t)
-    back, value = [(0, 0)] * n, [0.0] * n  # value: F[i] + t_i
-    windows = []
-    for m in range(full + 1):  # for j: the points i with m * length < t_j - t_i <= (m + 1) * length
-        first = np.searchsorted(points, points - (m + 1) * length, "left").tolist()
-        after = np.searchsorted(points, points - m * length, "left").tolist()
-        windows.append((m, first, after, m * inside + (m + 1) * length, deque()))
-    taken = [0] * (full + 1)
-    for j in range(1, n):
-        best = float("inf")
-        for m, first, after, add, queue in windows:
-            i, stop = taken[m], after[j]
-            while i < stop:
-                v = value[i]
-                while queue and value[queue[-1]] >= v:
-                    queue.pop()
-                queue.append(i)
-                i += 1
-            taken[m] = i
-            low = first[j]
-            while queue and queue[0] < low:
-                queue.popleft()
-            if queue:
-                v = value[queue[0]] + add
-                if v < best:
-                    best, come = v, (queue[0], m)
-        best += price[j]
-        value[j], back[j] = best, come
-    ends, j = [], n - 1
+def cut_points(points: np.ndarray, prices: np.ndarray, length: int = LENGTH, inside: float = INSIDE, full: int | None = None) -> list[int]:
+    """Ends of the cheapest sequences over the points (ascending, from 0); the last point is the end of the last one.
+
+    Any number of full sequences may stand in a row; `full`, once their most, bounds nothing any more.
+    """
+    t, price, step = points.tolist(), prices.tolist(), inside + length
+    laps, places = ((points - 1) // length).tolist(), ((points - 1) % length).tolist()
+    back, best = [0] * len(t), 0.0
+    # Two staircases of F[i] + t_i - step * (t_i div length) over t_i mod length: falling values for the
+    # points at or before a place of the circle, rising ones for those behind it.
+    at_a, value_a, point_a = [], [], []
+    at_b, value_b, point_b = [], [], []
+    for j in range(len(t)):
+        place = places[j]
+        if j:
+            k = bisect_right(at_a, place) - 1
+            best, come = (value_a[k], point_a[k]) if k >= 0 else (float("inf"), 0)
+            k = bisect_right(at_b, place)
+            if k < len(at_b) and (v := value_b[k] - step, -point_b[k]) < (best, -come):
+                best, come = v, point_b[k]
+            best += laps[j] * step + length - t[j] + price[j]
+            back[j] = come
+        at = t[j] % length
+        value = best + t[j] - t[j] // length * step
+        low = high = bisect_left(at_a, at)
+        if not low or value_a[low - 1] >= value:
+            while high < len(at_a) and value_a[high] >= value:
+                high += 1
+            if high > low or low == len(at_a) or at_a[low] > at:
+                at_a[low:high], value_a[low:high], point_a[low:high] = [at], [value], [j]
+        low = high = bisect_right(at_b, at)
+        if high == len(at_b) or value_b[high] >= value:
+            while low and value_b[low - 1] >= value:
+                low -= 1
+            if low < high or not high or at_b[high - 1] < at:
+                at_b[low:high], value_b[low:high], point_b[low:high] = [at], [value], [j]
+    ends, j = [], len(t) - 1
     while j:
-        i, m = back[j]
-        ends += [t[j], *(t[i] + k * length for k in range(m, 0, -1))]
+        i = back[j]
+        ends += [t[j], *(t[i] + k * length for k in range((t[j] - t[i] - 1) // length, 0, -1))]
         j = i
     return ends[::-1]
 
 
-def _with_inner_points(points: np.ndarray, prices: np.ndarray, length: int, inside: float) -> tuple[np.ndarray, np.ndarray]:
-    """Cut points inside the gaps that are longer than a sequence."""
-    gaps = np.flatnonzero(np.diff(points) > length)
-    if not len(gaps):
-        return points, prices
-    more = np.concatenate([np.arange(points[g] + length, points[g + 1], length) for g in gaps])
-    points = np.concatenate((points, more))
-    prices = np.concatenate((prices, np.full(len(more), inside)))
-    order = np.argsort(points, kind="stable")
-    return points[order], prices[order]
-
-
 def _tail(start: int, end: int, length: int, inside: float) -> list[int]:
     """Ends of the last sequences: one padded, or several whose lengths are powers of two."""
     rest = end - start
@@ -122,10 +114,9 @@ class _Stream:
         ids = np.concatenate([d[2] for d in self.docs])
         ends = np.cumsum([len(d[2]) for d in self.docs])
         points = np.flatnonzero(enc.ends_sentence[ids[:-1]] & enc.starts_gap[ids[1:]]) + 1
-        points = np.union1d(points[np.unique(points // GRID, return_index=True)[1]], ends)
+        points = np.union1d(points, ends)
         prices = np.where(np.isin(points, ends), 0.0, self.sentence)
-        points, prices = _with_inner_points(np.concatenate(([0], points)), np.concatenate(([0.0], prices)), self.length, self.inside)
-        cuts = cut_points(points, prices, self.length, self.inside)
+        cuts = cut_points(np.concatenate(([0], points)), np.concatenate(([0.0], prices)), self.length, self.inside)
         cuts = cuts[:-1] + (_tail(cuts[-2] if len(cuts) > 1 else 0, cuts[-1], self.length, self.inside) if last else [])
         d, low = 0, 0
         for high in cuts:

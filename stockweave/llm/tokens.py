@@ -1,24 +1,17 @@
 """Token ids of whole texts for a public byte-level vocabulary, as little-endian 32-bit bytes.
 
-The vocabulary's rule splits a text before every single space between two visible characters, so
-the ids of a piece (the space and what follows it) do not depend on its neighbours. Pieces repeat,
-so their ids are kept per worker in a table of bounded size; new pieces go to tiktoken, which has
-the same vocabulary as ranks. A text with a white-space character next to a space is encoded as a
-whole. A text that holds the string of the special token goes to `tokenizers` itself, which reads
-that string as the token.
+tiktoken, which has the same vocabulary as ranks, encodes a text as a whole. A text that holds the
+string of the special token goes to `tokenizers` itself, which reads that string as the token.
 """
 
 from __future__ import annotations
 
-import re
 from functools import cache
 from struct import pack
 
 import numpy as np
 
-_JOINED_SPACE = re.compile(r"\s | \s")
 _SPECIAL = "<|endoftext|>"
-KEPT_PIECES = 100_000
 
 
 class Encoder:
@@ -33,16 +26,6 @@ class Encoder:
         self._fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._tokenizer_path = tokenizer_path
         self._slow = None
-        encode, fast = self._bytes, self._fast.encode_ordinary
-
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if len(self) >= KEPT_PIECES:
-                    self.clear()
-                made = self[piece] = encode(fast(" " + piece))
-                return made
-
-        self._pieces = Pieces()
         self.ends_sentence, self.starts_gap = self._kinds(ranks)
 
     @staticmethod
@@ -65,10 +48,7 @@ class Encoder:
 
                 self._slow = Tokenizer.from_file(self._tokenizer_path)
             return self._bytes(self._slow.encode(text, add_special_tokens=False).ids)
-        if _JOINED_SPACE.search(text):
-            return self._bytes(self._fast.encode_ordinary(text))
-        first, *rest = text.split(" ")
-        return self._bytes(self._fast.encode_ordinary(first)) + b"".join(map(self._pieces.__getitem__, rest))
+        return self._bytes(self._fast.encode_ordinary(text))
 
 
 @cache

@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -127,6 +128,31 @@ def test_cut_points_are_the_cheapest():
         assert got[-1] == points[-1] and cost(got) == pytest.approx(best[-1]) and full is not None
 
 
+def test_any_number_of_full_sequences_in_a_row():
+    assert packing.cut_points(np.array([0, 81]), np.zeros(2), 10, 0.05) == [*range(10, 81, 10), 81]
+    points = np.append(np.arange(0, 72, 9), 80)  # sequences of 9 leave a place empty each, eight full ones none
+    assert packing.cut_points(points, np.zeros(len(points)), 10, 0.05) == list(range(10, 81, 10))
+
+
+def test_every_sentence_end_is_a_cut_point():
+    rng = np.random.default_rng(8)
+    enc = SimpleNamespace(ends_sentence=np.array([True, False, True]), starts_gap=np.ones(3, bool))
+    for _ in range(5):
+        docs = [np.append(rng.choice([1, 2], n, p=[0.9, 0.1]), 0) for n in (3, 400, 0, 150, 700, 20)]
+        stream = packing._Stream(50, 1.0, 6.0)
+        for k, ids in enumerate(docs):
+            stream.add(k, ids)
+        lengths = [sum(len(p[2]) for p in pieces) for pieces in stream.take(enc, True)]
+        ids, ends = np.concatenate(docs), set(np.cumsum([len(d) for d in docs]).tolist())
+        price = [0.0 if i in ends else 1.0 if ids[i - 1] == 2 else 6.0 for i in range(len(ids) + 1)]
+        best = [0.0]
+        for e in range(1, len(ids) + 1):  # a cut may fall anywhere
+            best.append(price[e] + min(best[b] + 50 - (e - b) for b in range(max(0, e - 50), e)))
+        cuts = np.cumsum(lengths)
+        assert cuts[-1] == len(ids) and max(lengths) <= 50
+        assert sum(50 - n for n in lengths) + sum(price[c] for c in cuts.tolist()) == pytest.approx(best[-1])
+
+
 # --- 2: decontamination ------------------------------------------------------------------------------------
 
 
