@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, ship_code
 
 __all__ = ["BROADCAST_ROWS", "cut", "ship", "sized", "table", "text_or_empty"]
 
@@ -22,18 +17,10 @@ BATCH_ROWS, BATCH_BYTES = 1000, "4m"  # of an Arrow batch: whichever is reached
 
 
 def ship(spark: SparkSession) -> None:
-    """Bound Arrow batches, and make this package importable on the executors unless PYTHONPATH names it already."""
+    """Bound Arrow batches, and make this package importable on the executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_stockweave_shipped", False):
-        return
-    archive = os.path.join(tempfile.mkdtemp(prefix="stockweave-code-"), "stockweave.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for path in sorted((root / "stockweave").rglob("*.py")):
-            z.write(path, path.relative_to(root))
-    context.addPyFile(archive)
-    context._stockweave_shipped = True
+    ship_code(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

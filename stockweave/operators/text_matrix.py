@@ -1,23 +1,30 @@
 """TF-IDF of one- and two-word terms, reduced to a few dimensions by a randomised range finder.
 
-Terms are hashed into 2^18 slots and stay sparse: a row per text and slot. The leading directions
-come from subspace iteration: random signs for every slot, then in turn places of texts (a sum
-over their slots) and places of slots (a sum over their texts), made orthonormal after each turn.
-Only Gram matrices of `dimensions` + `extra` columns reach the driver. The place of a slot is a
-row, so what is broadcast is bounded by the slots and does not grow with the texts.
-
-Equal texts are one row with a count. Texts are known by a 64-bit hash. A text without terms, and
-every text if the training texts have none, lies at 0; so do directions beyond the matrix's rank.
+Terms are hashed into 2^18 slots and stay sparse: a stored row per text with its slots and their
+times. The leading directions come from subspace iteration: random signs for every slot, then in
+turn places of texts (a sum over their slots) and places of slots (a sum over their texts), made
+orthonormal after each turn. A turn is one pass over the stored rows: a task looks its texts up in
+the places of the slots and adds what they give to a table of slots of its own. So nothing is
+shuffled but these tables, one a task, and neither they nor the places, which the driver makes
+orthonormal and sends out, grow with the texts. Placing a text needs its own row only.
+
+A text without terms, and every text if the training texts have none, lies at 0; so do directions
+beyond the matrix's rank.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import NGram
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..functions import sparse
+from ..plans.lineage import cut, ship_code
 from .text_features import tokenize
 
 SLOTS = 1 << 18  # terms that share a slot are added up
@@ -25,43 +32,91 @@ DIMENSIONS = 4
 EXTRA, TURNS = 4, 3  # further directions that are followed, and turns of the iteration
 
 
-def _counts(df: DataFrame, text: str, slots: int) -> DataFrame:
-    """A row per different text and slot: key, rows, slot, times."""
-    df = df.select(F.xxhash64(text).alias("key"), tokenize(text).alias("_words"))
-    df = NGram(n=2, inputCol="_words", outputCol="_pairs").transform(df)
+def _terms(df: DataFrame, text: str, slots: int) -> DataFrame:
+    """The columns of df and `_at`, the slots of all terms of the text."""
+    words = df.select("*", tokenize(text).alias("_words"))
+    pairs = NGram(n=2, inputCol="_words", outputCol="_pairs").transform(words)
     at = F.transform(F.concat("_words", "_pairs"), lambda t: F.pmod(F.xxhash64(t), F.lit(slots)).cast("int"))
-    one = df.groupBy("key").agg(F.first(at).alias("at"), F.count(F.lit(1)).alias("rows"))
-    return one.select("key", "rows", F.explode("at").alias("slot")).groupBy("key", "rows", "slot").agg(F.count(F.lit(1)).alias("times"))
-
-
-def _weight() -> Column:
-    return (1.0 + F.log("times")) * F.col("idf")
-
-
-def _gram(df: DataFrame, values: str, size: int, rows: Column) -> np.ndarray:
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    sums = df.agg(*[F.sum(rows * F.get(values, F.lit(i)) * F.get(values, F.lit(j))) for i, j in pairs]).first()
-    out = np.zeros((size, size))
-    for (i, j), v in zip(pairs, sums):
-        out[i, j] = out[j, i] = v or 0.0
-    return out
+    return pairs.select(*df.columns, at.alias("_at"))
 
 
-def _times(values: str, matrix: np.ndarray) -> Column:
-    """The array column times a small matrix."""
-    return F.array(*[sum((F.get(values, F.lit(i)) * float(x) for i, x in enumerate(column)), F.lit(0.0)) for column in matrix.T])
-
-
-def _orthonormal(places: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """Slots' places (slot, z) with orthonormal columns; columns without length go."""
-    lengths, turned = np.linalg.eigh(_gram(places, "z", size, F.lit(1.0)))
+def _counts(df: DataFrame, text: str, slots: int) -> DataFrame:
+    """A row per text with a term: its different slots and how often it has each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, slot, times = sparse.counted(batch.column("_at"), slots)
+            bounds = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
+            made = [pa.ListArray.from_arrays(bounds, pa.array(v.astype(np.int32))) for v in (slot, times)]
+            yield pa.RecordBatch.from_arrays(made, names=["slots", "times"])
+
+    at = _terms(df.select(text), text, slots).select("_at").filter(F.size("_at") > 0)
+    return at.mapInArrow(run, "slots array<int>, times array<int>")
+
+
+def _texts_with(entries: DataFrame, slots: int) -> DataFrame:
+    """A row per slot and task: slot, n (texts that have it)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(slots, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column("slots").flatten().to_numpy(zero_copy_only=False), minlength=slots)
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n[found])], names=["slot", "n"])
+
+    return entries.select("slots").mapInArrow(run, "slot int, n long")
+
+
+def _turned(entries: DataFrame, idf: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """New places of the slots: sums over the texts at their places."""
+    size, sent = z.shape[1], entries.sparkSession.sparkContext.broadcast((idf, z))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, z = sent.value
+        out = np.zeros((size, len(idf)))
+        for batch in batches:
+            for rows, owner, slot, times in sparse.stored(batch):
+                w = sparse.weights(owner, slot, times, idf, rows)
+                y = sparse.row_sums(owner, slot, w, z, rows)[owner]
+                for i in range(size):
+                    out[i] += np.bincount(slot, w * y[:, i], len(idf))
+        found = np.flatnonzero(out.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *[pa.array(v[found]) for v in out]],
+                                         names=["slot", *[f"_{i}" for i in range(size)]])
+
+    made = entries.mapInArrow(run, ", ".join(["slot int", *[f"_{i} double" for i in range(size)]]))
+    table = made.groupBy("slot").agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(size)]).toArrow()
+    sent.destroy()
+    places = np.zeros_like(z)
+    places[table["slot"].to_numpy()] = np.stack([table[f"_{i}"].to_numpy() for i in range(size)], 1)
+    return places
+
+
+def _gram(entries: DataFrame, idf: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, int]:
+    """Products of the columns of the texts' places, and the number of texts with a weight."""
+    size, sent = z.shape[1], entries.sparkSession.sparkContext.broadcast((idf, z))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, z = sent.value
+        out, n = np.zeros((size, size)), 0
+        for batch in batches:
+            for rows, owner, slot, times in sparse.stored(batch):
+                w = sparse.weights(owner, slot, times, idf, rows)
+                y = sparse.row_sums(owner, slot, w, z, rows)
+                out += y.T @ y
+                n += len(np.unique(owner[w != 0]))
+        yield pa.RecordBatch.from_arrays([pa.array([n]), *[pa.array([v]) for v in out.ravel()]], names=["n", *[f"_{i}" for i in range(size * size)]])
+
+    names = [f"_{i}" for i in range(size * size)]
+    made = entries.mapInArrow(run, ", ".join(["n long", *[f"{c} double" for c in names]]))
+    n, *sums = made.agg(F.sum("n"), *[F.sum(c) for c in names]).first()
+    sent.destroy()
+    return np.array(sums, float).reshape(size, size), n
+
+
+def _orthonormal(z: np.ndarray) -> np.ndarray:
+    """Places with orthonormal columns; columns without length go."""
+    lengths, turned = np.linalg.eigh(z.T @ z)
     live = lengths > 1e-12 * max(lengths.max(), 1e-300)
-    return cut(places.select("slot", _times("z", turned[:, live] / np.sqrt(lengths[live])).alias("z"))), int(live.sum())
-
-
-def _summed(df: DataFrame, key: list[str], values: str, size: int, factor: Column, name: str) -> DataFrame:
-    sums = df.groupBy(*key).agg(*[F.sum(factor * F.get(values, F.lit(i))).alias(f"_{i}") for i in range(size)])
-    return sums.select(*key, F.array(*[f"_{i}" for i in range(size)]).alias(name))
+    return z @ (turned[:, live] / np.sqrt(lengths[live]))
 
 
 class TextMatrix:
@@ -72,42 +127,59 @@ class TextMatrix:
 
     @staticmethod
     def fit(train: DataFrame, text: str, slots: int = SLOTS, dimensions: int = DIMENSIONS, extra: int = EXTRA, turns: int = TURNS) -> "TextMatrix":
-        counts = cut(_counts(train, text, slots))
-        n = counts.select("key", "rows").distinct().agg(F.sum("rows")).first()[0]
+        spark = train.sparkSession
+        ship_code(spark)
+        entries = cut(_counts(train, text, slots))
+        n = entries.count()
         if not n:
             return TextMatrix(None, [], slots, dimensions)
-        idf = cut(counts.groupBy("slot").agg(F.log(F.lit(n + 1.0) / (F.sum("rows") + 1)).alias("idf")))
-        raw = counts.join(F.broadcast(idf), "slot").withColumn("raw", _weight())
-        norms = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")).filter("norm > 0")
-        entries = cut(raw.join(norms, "key").select("key", "rows", "slot", (F.col("raw") / F.col("norm")).alias("w")))
-        total = entries.agg(F.sum(F.col("rows") * F.col("w") * F.col("w"))).first()[0]
-        if not total:
+        seen = _texts_with(entries, slots).groupBy("slot").agg(F.log(F.lit(n + 1.0) / (F.sum("n") + 1)).alias("idf"))
+        seen = seen.withColumn("signs", F.xxhash64(F.lit(17), "slot")).orderBy("slot").toArrow()
+        slot = seen["slot"].to_numpy()
+        idf = np.zeros(slots)
+        idf[slot] = seen["idf"].to_numpy()
+        if not idf.any():
             return TextMatrix(None, [], slots, dimensions)
-        size = dimensions + extra
-        sign = [F.when(F.shiftright(F.xxhash64(F.lit(17), "slot"), i).bitwiseAND(1) == 1, 1.0).otherwise(-1.0) for i in range(size)]
-        places, size = _orthonormal(idf.select("slot", F.array(*sign).alias("z")), size)
-        for turn in range(turns + 1):
-            texts = _summed(entries.join(F.broadcast(places), "slot"), ["key", "rows"], "z", size, F.col("w"), "y")
-            if turn < turns:
-                found = entries.join(texts.drop("rows"), "key")
-                places, size = _orthonormal(_summed(found, ["slot"], "y", size, F.col("rows") * F.col("w"), "z"), size)
-        strength, turned = np.linalg.eigh(_gram(texts, "y", size, F.col("rows")))
+        z = np.zeros((slots, dimensions + extra))
+        z[slot] = np.where(seen["signs"].to_numpy()[:, None] >> np.arange(dimensions + extra) & 1, 1.0, -1.0)
+        z = _orthonormal(z)
+        for _turn in range(turns):
+            z = _orthonormal(_turned(entries, idf, z))
+        products, total = _gram(entries, idf, z)
+        strength, turned = np.linalg.eigh(products)
         kept = np.argsort(-strength)[:dimensions]
-        axes = cut(places.select("slot", _times("z", turned[:, kept]).alias("axis")))
-        # An axis points to where its longest component is positive.
-        longest = [F.max_by(F.get("axis", F.lit(i)), F.struct(F.round(F.abs(F.get("axis", F.lit(i))), 9), "slot")) for i in range(len(kept))]
-        signs = np.diag([1.0 if v > 0 else -1.0 for v in axes.agg(*longest).first()])
-        found = idf.join(axes, "slot", "left").select("slot", "idf", _times("axis", signs).alias("axis"))
-        return TextMatrix(cut(found), [float(s) / total for s in strength[kept]], slots, dimensions)
+        axes = z @ turned[:, kept]
+        # An axis points to where its longest component is positive; of equal ones the last slot's counts.
+        long = np.round(np.abs(axes[slot]), 9)
+        longest = [axes[slot[np.flatnonzero(v == v.max())[-1]], i] for i, v in enumerate(long.T)]
+        axes *= np.where(np.array(longest) > 0, 1.0, -1.0)
+        table = pa.table({"slot": pa.array(slot), "idf": pa.array(idf[slot]), "axis": pa.array(list(axes[slot]), pa.list_(pa.float64()))})
+        return TextMatrix(cut(spark.createDataFrame(table)), [float(s) / total for s in strength[kept]], slots, dimensions)
 
     def transform(self, df: DataFrame, text: str, prefix: str = "text_") -> DataFrame:
         names = [f"{prefix}{d}" for d in range(self.dimensions)]
         if self.places is None:
             return df.withColumns({name: F.lit(0.0) for name in names})
+        ship_code(df.sparkSession)
+        found = self.places.toArrow()
+        slot, slots = found["slot"].to_numpy(), self.slots
         # A slot that no training text has carries no weight, as it has no place.
-        raw = _counts(df, text, self.slots).join(F.broadcast(self.places), "slot").withColumn("raw", _weight())
-        norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")))
-        along = [F.coalesce(F.sum(F.col("raw") * F.get("axis", F.lit(d))), F.lit(0.0)) for d in range(self.dimensions)]
-        placed = raw.groupBy("key").agg(*[F.when(norm > 0, a / norm).otherwise(0.0).alias(name) for a, name in zip(along, names)])
-        out = df.withColumn("_key", F.xxhash64(text)).join(placed.withColumnRenamed("key", "_key"), "_key", "left")
-        return out.select(*df.columns, *[F.coalesce(F.col(name), F.lit(0.0)).alias(name) for name in names])
+        idf, axes = np.zeros(slots), np.zeros((slots, self.dimensions))
+        idf[slot] = found["idf"].to_numpy()
+        along = np.stack(found["axis"].to_numpy(zero_copy_only=False))
+        axes[slot, : along.shape[1]] = along
+        sent = df.sparkSession.sparkContext.broadcast((idf, axes))
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            idf, axes = sent.value
+            for batch in batches:
+                made = []
+                for low in range(0, len(batch), sparse.ROWS):
+                    part = batch.iloc[low: low + sparse.ROWS]
+                    owner, slot, times = sparse.counted(pa.array(part, pa.list_(pa.int32())), slots)
+                    made += list(sparse.row_sums(owner, slot, sparse.weights(owner, slot, times, idf, len(part)), axes, len(part)))
+                yield pd.Series(made, dtype=object)
+
+        place = F.pandas_udf(run, "array<double>")
+        out = _terms(df, text, slots).select(*df.columns, place("_at").alias("_place"))
+        return out.select(*df.columns, *[F.get("_place", F.lit(d)).alias(name) for d, name in enumerate(names)])

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
+import tempfile
+import zipfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +39,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Make this package importable on the executors unless PYTHONPATH names it already."""
+    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_stockweave_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="stockweave-code-"), "stockweave.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted((root / "stockweave").rglob("*.py")):
+            z.write(path, path.relative_to(root))
+    context.addPyFile(archive)
+    context._stockweave_shipped = True
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder wherever Spark can write."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

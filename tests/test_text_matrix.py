@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stockweave.operators.text_matrix import TextMatrix
+from stockweave.operators.text_matrix import TextMatrix, _counts
 
 
 def test_axes_equal_a_full_decomposition(spark):
@@ -39,3 +39,11 @@ def test_no_training_texts(spark):
     frame = spark.createDataFrame([(1, None), (2, "")], "id long, text string")
     made = TextMatrix.fit(frame, "text").transform(frame, "text").collect()
     assert [r.text_3 for r in made] == [0.0, 0.0]
+
+
+def test_texts_are_not_shuffled(spark):
+    frame = spark.createDataFrame([(i, f"rain {i % 7} storm {i % 5}") for i in range(60)], "id long, text string")
+    fitted = TextMatrix.fit(frame, "text")
+    shown = [df._jdf.queryExecution().executedPlan().toString() for df in (_counts(frame, "text", 1 << 10), fitted.transform(frame, "text"))]
+    assert not any("Exchange" in plan for plan in shown)
+    assert fitted.transform(frame.unionAll(frame), "text").distinct().count() == 60  # repeated rows lie at one place
