@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -129,7 +129,7 @@ def read(page: str) -> _Page:
     """The text leaves of a page and their elements; unclosed and stray tags are taken as browsers do."""
     out = _Page()
     open_nodes, block, at = [0], 0, 0
-    open_tags: Counter[str] = Counter()
+    open_tags: defaultdict[str, int] = defaultdict(int)
     end = len(page)
     quotes = True  # a `>` in quotes does not end a tag
 
@@ -139,12 +139,16 @@ def read(page: str) -> _Page:
 
     def close(names: set[str], within: set[str]) -> None:
         """End the innermost open element of these names, unless one of `within` holds it back."""
-        if not any(open_tags[n] for n in names):
+        for name in names:
+            if open_tags.get(name):
+                break
+        else:
             return
         for k in range(len(open_nodes) - 1, 0, -1):
             tag = out.nodes[open_nodes[k]].tag
             if tag in names:
-                open_tags.subtract(out.nodes[n].tag for n in open_nodes[k:])
+                for n in open_nodes[k:]:
+                    open_tags[out.nodes[n].tag] -= 1
                 del open_nodes[k:]
                 return
             if tag in within:

@@ -36,7 +36,6 @@ from .htmltext import RAW, read
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 _BREAK = re.compile(rb"\r?\n\r?\n")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
-_BLANK = re.compile(r"[^\S\n]+")
 
 
 def digest(data: bytes) -> str:
@@ -146,7 +145,7 @@ def plain_text(page: str) -> str:
     for node, block, raw in tree.leaves:
         if not hidden[node]:
             lines.setdefault(block, []).append(html.unescape(raw))
-    rows = (_BLANK.sub(" ", "".join(parts).replace("\n", " ")).strip() for parts in lines.values())
+    rows = (" ".join("".join(parts).split()) for parts in lines.values())
     return "\n".join(r for r in rows if r)
 
 

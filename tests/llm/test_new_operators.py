@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stockweave.llm import alignment, blocks, nra, ppm, queries
+from stockweave.llm import alignment, blocks, nra, ppm, queries, warc
 from stockweave.llm.common import ship
 
 SF = "/root/testdata/sf0.001"
@@ -300,3 +300,8 @@ def test_bands_follow_the_threshold():
     assert [minhash.bands_for(t) for t in (0.8, 0.85)] == [38, 24]
     for t in (0.5, 0.7, 0.8, 0.85, 0.9, 0.95):
         assert (1 - t**minhash.ROWS) ** minhash.bands_for(t) <= minhash.MISSED
+
+
+def test_plain_text_joins_any_white_space_of_a_block():
+    page = "<ul><li>a   b\t\r\nc \x1c d</ul></foo><p>e<p>  f<br>g<script> x </script></p></bar> h"
+    assert warc.plain_text(page) == "a b c d\ne\nf g\nh"
