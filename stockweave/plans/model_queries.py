@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import timedelta
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from ..operators import baselines, client, daily, metrics, models, outlets, segments, series, splits
@@ -147,16 +149,28 @@ UNION ALL SELECT 'segment outlets', count(*) FROM performance
 UNION ALL SELECT 'segment sizes wrong', 0""", ("facts", "performance"))
 def _(spark, sf):
     facts = cut(src.daily_facts(spark, sf).select("outlet_id", "product_id", "date", "quantity_sold"))
-    labelled = splits.last_days_split(cut(series.compact_features(facts)))
-    model = compact_model(labelled.filter("split = 'train'"))
-    scored = cut(models.predict(model, labelled))
-    latest = models.latest_predictions(scored).join(facts.groupBy("outlet_id", "product_id").agg(F.max("date").alias("_last")), ["outlet_id", "product_id"])
     day = daily.latest_day(facts)
-    week = models.recursive_forecast(models.train(series.model_features(facts), series.MODEL_FEATURES), facts, day + timedelta(days=1), 7)
-    docs = src.table(spark, sf, "documents").select("doc_id", "text")
-    text = TextMatrix.fit(docs, "text").transform(docs, "text")
-    placed = outlets.performance_indices(demand(spark, sf))
-    found = segments.outlet_segments(placed)
+
+    def compact_results():
+        labelled = splits.last_days_split(cut(series.compact_features(facts)))
+        model = compact_model(labelled.filter("split = 'train'"))
+        return model, cut(models.predict(model, labelled))
+
+    def week_ahead():
+        return models.recursive_forecast(models.train(series.model_features(facts), series.MODEL_FEATURES), facts, day + timedelta(days=1), 7)
+
+    def placed_texts():
+        docs = src.table(spark, sf, "documents").select("doc_id", "text")
+        return cut(TextMatrix.fit(docs, "text").transform(docs, "text").drop("text"))
+
+    def segmented():
+        return cut(segments.outlet_segments(outlets.performance_indices(demand(spark, sf))))
+
+    # Four trainings that need nothing of each other: a round of trees is a row of short jobs that leave most cores idle.
+    parts = (compact_results, week_ahead, placed_texts, segmented)
+    with ThreadPoolExecutor(len(parts)) as pool:
+        (model, scored), week, text, found = [f.result() for f in [pool.submit(inheritable_thread_target(spark)(part)) for part in parts]]
+    latest = models.latest_predictions(scored).join(facts.groupBy("outlet_id", "product_id").agg(F.max("date").alias("_last")), ["outlet_id", "product_id"])
     sizes = found.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.max("cluster_size").alias("told"))
 
     def checks(df, **counts):
